@@ -14,17 +14,17 @@ hash, then as they come); null doc_ids come first; an empty table gives an empty
 from __future__ import annotations
 
 import functools
-import re
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, ragged, shared_dir, sliced, table
+from .common import column, ragged, shared_dir, shuffle_partitions, sliced, stored, table
+from .scan import PieceIds, by_bytes, raw, word_bpe_pieces
 
 LIMIT = 20  # bits of the longest code: decoding tables have 2 ** LIMIT entries
 STEP = 128  # ids between checkpoints
@@ -156,91 +156,47 @@ def read_blob(blob: bytes, lookup: np.ndarray) -> tuple[list[int | None], np.nda
 
 
 # ---------------------------------------------------------------- encoding by a public vocabulary
-class Pieces:
-    """Ids of text pieces by the tokenizers library, each distinct piece encoded once.
+class Encoder:
+    """Ids of whole texts by the tokenizers library, each distinct piece of them encoded once.
 
-    Texts within Latin-1 and Latin Extended-A are cut here by the tokenizer's own pattern (there NFC changes nothing
-    and lower-casing maps one character to one); any other text goes to the library whole.
+    Texts within Latin-1 and Latin Extended-A are cut in numpy by the tokenizer's own pattern (there NFC changes nothing
+    and lower-casing maps one character to one), and their distinct pieces go through the library's model; any other
+    text goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most = most
-        kind = {c: unicodedata.category(chr(c))[0] for c in range(0x180)}
-        put = lambda want: "".join(re.escape(chr(c)) for c in kind if want(c))
-        letters, numbers = put(lambda c: kind[c] == "L"), put(lambda c: kind[c] == "N")
-        spaces = "\t\n\x0b\f\r \x85\xa0"
-        self.pattern = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{spaces}{letters}{numbers}]+")
-        self.odd = re.compile("[^\x00-įı-ſ]")
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        got = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        size = np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
-        if len(size) != len(pieces):
-            raise ValueError("the pattern does not fit the tokenizer")
-        self.index.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint16)])
-
-    def rows(self, pieces: list[str], distinct=None) -> np.ndarray:
-        if len(self.index) > self.most:
-            self.clear()
-        if new := [x for x in (set(pieces) if distinct is None else distinct) if x not in self.index]:
-            self.learn(new)
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-
-    def count(self, texts: list[str | None], into: np.ndarray) -> None:
-        """Adds the ids' numbers in these texts."""
-        from collections import Counter
-
-        counts: Counter = Counter()
-        for x in texts:
-            if x and self.odd.search(x):
-                into += np.bincount(self.tokenizer.encode(x, add_special_tokens=False).ids, minlength=len(into))
-            elif x:
-                counts.update(self.pattern.findall(x.lower()))
-        if counts:
-            rows, n = self.rows(list(counts), counts), np.fromiter(counts.values(), np.int64, len(counts))
-            into += np.bincount(self.flat[ragged(self.start[rows], self.size[rows])], np.repeat(n, self.size[rows]), len(into)).astype(np.int64)
-
-    def encode(self, texts: list[str | None], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = Tokenizer(self.whole.model)
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in printed)}
+        self.pieces = PieceIds(self._learn)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        shown = [x.decode("latin-1").translate(self.letters) for x in pieces]  # the byte-level alphabet
+        got = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.uint16), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
+
+    def encode(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and their number for each."""
-        pieces, owner, whole = [], [], {}
-        for k, x in enumerate(texts):
-            if x and self.odd.search(x):
-                whole[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint16)
-                owner.append(0)
-                continue
-            before = len(pieces)
-            if x:
-                pieces += self.pattern.findall(x.lower())
-            owner.append(len(pieces) - before)
-        rows = self.rows(pieces)
-        sizes = self.size[rows]
-        ids = self.flat[ragged(self.start[rows], sizes)]
-        edge = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(owner)]).astype(np.int64)]
-        ids = np.insert(ids, edge[1:], end)
-        counts = np.diff(edge) + 1
-        if whole:
+        cut, odd = word_bpe_pieces(texts)
+        if odd.any():
+            cut, _ = word_bpe_pieces(pc.if_else(pa.array(odd), pa.scalar(""), texts.cast(pa.string())))
+        ids, counts = self.pieces.ids(cut)
+        ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+        if odd.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for k, x in whole.items():
-                parts[k] = np.append(x, np.uint16(end))
+            for k in np.flatnonzero(odd):
+                parts[k] = np.array([*self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, end], np.uint16)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, counts.astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
-def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @functools.lru_cache(maxsize=1)
@@ -248,47 +204,54 @@ def _lookup(lengths: bytes) -> np.ndarray:
     return decoding_table(np.frombuffer(lengths, np.uint8))
 
 
-def id_counts(docs: DataFrame, path: str, vocab: int, text: str = "text") -> np.ndarray:
-    """How often each id occurs over all documents, end ids included; one row of ids a task reaches the shuffle."""
-
-    def run(batches):
-        n, counts = 0, np.zeros(vocab, np.int64)
-        for batch in sliced(batches, 1024):
-            _pieces(path).count(batch.column(0).to_pylist(), counts)
-            n += batch.num_rows
-        counts[END_ID] += n
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], names=["id", "n"])
-
-    out = np.zeros(vocab, np.int64)
-    for r in docs.select(column(text)).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most vocab rows
-        out[r.id] = r.n
-    return out
-
-
 def write_tokens(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text: str = "text", vocab: int = 49_408, docs_a_bucket: int = 8192, most_buckets: int = 10_000) -> np.ndarray:
-    """Encodes every whole text and writes the blocks to ``out`` in ascending order of the document ids; returns the code lengths."""
-    lengths = code_lengths(id_counts(docs, path, vocab, text))
-    sent = docs.sparkSession.sparkContext.broadcast((lengths, canonical(lengths)))
+    """Encodes every whole text and writes the blocks to ``out`` in ascending order of the document ids; returns the code lengths.
+
+    Texts are tokenised once: the ids go to the shared folder as 16-bit numbers, their counts give the codes, and what
+    is shuffled into order are the documents' coded bits.
+    """
+    spark = docs.sparkSession
     key = column(doc_id).cast("long")
     total = docs.count()
     buckets = max(1, min(most_buckets, total // docs_a_bucket))
     cuts = docs.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)] or [0.5], 10_000).alias("c")).head().c or []
     cuts = np.array(sorted(set(cuts)) if buckets > 1 else [], np.int64)
 
+    def tokenise(batches):
+        for batch in by_bytes(batches, 1):
+            ids, counts = _encoder(path).encode(batch.column(1))
+            held = ids.astype("<u2").tobytes()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts) * 2]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(held)])], names=["doc_id", "ids"])
+
+    def count(batches):
+        counts = np.zeros(vocab, np.int64)
+        for batch in batches:
+            counts += np.bincount(raw(batch.column(0))[0].view("<u2"), minlength=vocab)
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], names=["id", "n"])
+
+    ids = stored(docs.select(key.alias("doc_id"), column(text).alias("text")).mapInArrow(tokenise, "doc_id long, ids binary"), "ids")
+    counts = np.zeros(vocab, np.int64)
+    for r in ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most vocab rows
+        counts[r.id] = r.n
+    lengths = code_lengths(counts)
+    sent = spark.sparkContext.broadcast((lengths, canonical(lengths)))
+
     def encode(batches):
         lengths, codes = sent.value
-        for batch in sliced(batches, 1024):
-            ids, counts = _pieces(path).encode(batch.column(1).to_pylist())
-            payload, held, marks, lanes = pack(ids, counts, codes, lengths)
+        for batch in by_bytes(batches, 1):
+            data, edges = raw(batch.column(1))
+            counts = np.diff(edges) // 2
+            payload, held, marks, lanes = pack(data.view("<u2"), counts, codes, lengths)
             end, mark = np.concatenate([[0], np.cumsum(held)]), np.concatenate([[0], np.cumsum(lanes)]) * 4
-            raw, keys = marks.astype("<u4").tobytes(), batch.column(0).to_pylist()
+            points, keys = marks.astype("<u4").tobytes(), batch.column(0).to_pylist()
             where = [0 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys]
             yield pa.RecordBatch.from_arrays([
                 pa.array(where, pa.int32()),
                 pa.array(keys, pa.int64()),
                 pa.array(counts),
-                pa.array([raw[mark[k] : mark[k + 1]] for k in range(len(keys))], pa.binary()),
+                pa.array([points[mark[k] : mark[k + 1]] for k in range(len(keys))], pa.binary()),
                 pa.array([payload[end[k] : end[k + 1]] for k in range(len(keys))], pa.binary()),
             ], names=["bucket", "doc_id", "n", "marks", "payload"])
 
@@ -315,8 +278,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id"
         if held:
             yield flush()
 
-    rows = docs.select(key.alias("doc_id"), column(text).alias("text")).mapInArrow(encode, "bucket int, doc_id long, n long, marks binary, payload binary")
-    n = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = ids.mapInArrow(encode, "bucket int, doc_id long, n long, marks binary, payload binary")
+    n = max(1, min(buckets, shuffle_partitions(spark)))
     placed = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
     placed.mapInArrow(assemble, "bucket int, block int, rel_start long, blob binary, n_ids long").write.option("compression", "uncompressed").parquet(out)
     return lengths
