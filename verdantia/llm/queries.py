@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op1_byte_bpe
 from .token_store import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op9_token_store,)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op9_token_store)}
 ORACLE: dict[str, str] = {}

@@ -279,3 +279,58 @@ class PieceIds:
         size = self._one(self.size)[rows].astype(np.int64)
         ids = self._one(self.flat)[ragged(self._one(self.start)[rows], size)]
         return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[cut.first])
+
+
+class PieceCounts:
+    """Counts of distinct pieces, by hash; ``drain`` hands them out as Arrow batches (piece binary, n long)."""
+
+    def __init__(self):
+        self.index, self.pieces, self.counts = HashIndex(), [], np.zeros(0, np.int64)
+
+    def add(self, cut: Cut, which: np.ndarray | None = None) -> None:
+        hashes = cut.hashes()
+        at = np.arange(len(hashes)) if which is None else which
+        hashes = hashes[at]
+        rows = self.index.find(hashes)
+        if len(missing := np.flatnonzero(rows < 0)):
+            new, first = np.unique(hashes[missing], return_index=True)
+            self.index.add(new, len(self.pieces) + np.arange(len(new)))
+            self.pieces += cut.pieces(at[missing[first]])
+            self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+            rows[missing] = self.index.find(hashes[missing])
+        self.counts += np.bincount(rows, minlength=len(self.counts))
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.pieces), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(self.pieces[at : at + 50_000], pa.binary()), pa.array(self.counts[at : at + 50_000])], names=["piece", "n"])
+        self.__init__()
+
+
+def piece_counts(docs, cut, text: str = "text", most: int = 500_000):
+    """(piece binary, n long) over all rows: summed in each task before the shuffle. ``cut``: texts -> Cut."""
+    from pyspark.sql import functions as F
+
+    from .common import column
+
+    def run(batches):
+        held = PieceCounts()
+        for batch in by_bytes(batches, 0):
+            held.add(cut(batch.column(0)))
+            if len(held.pieces) > most:
+                yield from held.drain()
+        yield from held.drain()
+
+    return docs.select(column(text).cast("string")).mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def head(counts, most: int):
+    """The rows of (piece, n) with the highest counts, at most ``most`` of them: all with n of at least the lowest bound that allows it."""
+    from pyspark.sql import functions as F
+
+    steps = sorted((r.n, r.k) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect())  # distinct counts: the square root of twice the corpus' pieces at most
+    bound, total = (steps[-1][0] + 1 if steps else 1), 0
+    for n, k in reversed(steps):
+        if (total := total + k) > most:
+            break
+        bound = n
+    return counts.filter(F.col("n") >= bound)
