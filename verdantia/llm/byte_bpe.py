@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, mix64, shuffle_partitions, table
+from .common import column, mix64, shuffle_partitions, stored, table
 from .scan import Cut, HashIndex, PieceIds, by_bytes, byte_bpe_pieces, head, piece_counts, raw
 
 #: Pieces encoded ahead, the most frequent ones; bounds the broadcast (about 40 bytes each).
 HEAD = 1 << 18
 #: Bytes of a piece beyond which folds of arrays take too many rounds: a heap of pairs merges it.
 LONG = 256
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,12 +39,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 # ---------------------------------------------------------------- Spark's fold
-def rank_of(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """The rank of a binary piece, or null. The literal is an array of small maps, indexed by crc32, as Spark scans a map from its first key."""
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: an array of small maps, indexed by crc32, as Spark scans a map from its first key."""
     held: list[dict] = [{} for _ in range(_BUCKETS)]
     for k, v in ranks.items():
         held[zlib.crc32(k) % _BUCKETS][k.hex().upper()] = v
-    literal = F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def rank_of(piece: Column, literal: Column) -> Column:
+    """The rank of a binary piece, or null."""
     return F.try_element_at(F.element_at(literal, (F.crc32(piece) % _BUCKETS + 1).cast("int")), F.hex(piece))
 
 
@@ -53,10 +57,13 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of one binary piece: array<int>."""
+    """Ids of one binary piece: array<int>. The literal is bound once, so that the plan holds one copy of it."""
+    return _let(rank_literal(ranks), lambda literal: _fold(piece, literal))
+
 
+def _fold(piece: Column, literal: Column) -> Column:
     def rank(x: Column) -> Column:
-        return rank_of(x, ranks)
+        return rank_of(x, literal)
 
     whole = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
 
@@ -202,7 +209,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     import uuid
 
     spark = docs.sparkSession
-    common = head(piece_counts(docs, cut_texts, text), most).filter(F.length("piece") <= LONG)
+    common = head(stored(piece_counts(docs, cut_texts, text), "pieces"), most).filter(F.length("piece") <= LONG)
     common = common.select("piece").repartition(shuffle_partitions(spark), "piece")  # few bytes, much work
     folded = common.select("piece", fold_merges(F.col("piece"), load_ranks(path)).alias("ids")).toArrow()  # at most `most` rows
     sent = spark.sparkContext.broadcast((folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks(), uuid.uuid4().hex))
