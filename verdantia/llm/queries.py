@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from . import decontaminate, quality_rules
 from .byte_bpe import op1_byte_bpe
+from .decontaminate import op4_decontamination
+from .quality_rules import op8_quality_rules
 from .token_store import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op9_token_store)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_decontamination, op8_quality_rules, op9_token_store)}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
+}
