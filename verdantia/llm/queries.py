@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, url_reputation
+from . import decontaminate, jaccard_join, quality_rules, url_reputation
 from .byte_bpe import op1_byte_bpe
 from .decontaminate import op4_decontamination
 from .html_text import op7_html_text
+from .jaccard_join import op5_jaccard_join
 from .language_id import op10_language_id
 from .language_model import op3_language_model
 from .quality_rules import op8_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
         op2_url_reputation,
         op3_language_model,
         op4_decontamination,
+        op5_jaccard_join,
         op7_html_text,
         op8_quality_rules,
         op9_token_store,
@@ -28,5 +30,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_url_reputation": url_reputation.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
