@@ -34,6 +34,7 @@ SEEN = 6  # times in the sample from which a shingle counts as common
 COMMON = 1 << 19  # common shingles sent to the tasks, the most frequent ones; all others count as rare
 MERGE = 4096  # members up to which a list is held to merge it with equal ones
 BLOCK = 64
+PARTNERS = 512  # of a pivot in one task
 BITS = 23  # of the filter of classes in lists
 
 
@@ -124,27 +125,65 @@ def _lists(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shingles[at].view(np.int64)), pa.array(cls[which]), pa.array(n[which].astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "cls", "n", "place"])
 
     def merged(batches):
-        for h, cls, n, place in _runs(batches):
-            cls, at = np.unique(cls, return_index=True)
-            if len(cls) < 2:
+        held, long = None, None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-            name = mix64(mix64(cls.view(np.uint64)).sum(keepdims=True) + np.uint64(len(cls))).view(np.int64) if len(cls) <= MERGE else h[:1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, len(cls))), pa.array(cls), pa.array(n[at]), pa.array(place[at])], names=["list", "cls", "n", "place"])
-
-    def gathered(batches):
-        held, n = [], 0
-        for batch in merged(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n > 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if len(cols[0]) - last > MERGE:  # too long to hold: the shingle itself names the list, here and in what follows
+                long, last = cols[0][-1], len(cols[0])
+            held = [x[last:] for x in cols]
+            yield _merged(*(x[:last] for x in cols), long, num, den)
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield _merged(*held, long, num, den)
 
     rows = docs.select("text").mapInArrow(prefixes, "h long, cls long, n int, place int")
     placed = rows.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    return placed.mapInArrow(gathered, "list long, cls long, n int, place int").groupBy("list", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    return placed.mapInArrow(merged, "list long, cls long, n int, place int").groupBy("list", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+
+
+def _merged(h: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, long: int | None, num: int, den: int) -> pa.RecordBatch:
+    """Lists of whole runs of ``h``: members that no other member can reach are left out, equal lists get one name."""
+    several = np.zeros(len(h), bool)
+    same = h[1:] == h[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    if long is not None:
+        several |= h == long
+    h, cls, n, place = (x[several] for x in (h, cls, n, place))
+    order = np.lexsort((place, cls, h))
+    h, cls, n, place = (x[order] for x in (h, cls, n.astype(np.int64), place.astype(np.int64)))
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
+    h, cls, n, place = (x[first] for x in (h, cls, n, place))
+    starts = np.flatnonzero(np.diff(h, prepend=h[0] - 1 if len(h) else 0) != 0) if len(h) else np.empty(0, np.int64)
+    size = np.diff(np.append(starts, len(h)))
+
+    def fit(x, y):
+        return (den * n[x] >= num * n[y]) & (den * n[y] >= num * n[x]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= _least(n[x], n[y], num, den))
+
+    keep = np.repeat(size > BLOCK, size)
+    if long is not None:
+        keep |= h == long
+    two = starts[size == 2]
+    keep[two] |= fit(two, two + 1)
+    keep[two + 1] |= keep[two]
+    for at, k in zip(starts[(size > 2) & (size <= BLOCK)].tolist(), size[(size > 2) & (size <= BLOCK)].tolist(), strict=True):
+        x = np.arange(at, at + k)
+        good = fit(x[:, None], x[None, :])
+        np.fill_diagonal(good, False)
+        keep[x] |= good.any(axis=1)
+    h, cls, n, place = (x[keep] for x in (h, cls, n, place))
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    size = np.diff(np.append(starts, len(h)))
+    name = h.copy()
+    if len(h):
+        sums = mix64(np.add.reduceat(mix64(cls.view(np.uint64)), starts) + size.astype(np.uint64)).view(np.int64)
+        name = np.repeat(np.where((size > MERGE) | (h[starts] == long if long is not None else False), h[starts], sums), size)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["list", "cls", "n", "place"])
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -192,10 +231,12 @@ def _overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 out.append((a[k], b[k], int((own[np.minimum(at, len(own) - 1)] == x).sum())))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], names=["a", "b", "both"])
 
-    # A pivot may have very many partners: they are dealt over parts, each with the pivot's set.
-    parts = 8
-    salted = rows.withColumn("part", F.when(F.col("other"), F.array(F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1))))
-    salted = salted.withColumn("part", F.explode("part"))
+    # A pivot with very many partners has them dealt over parts, each with the pivot's set.
+    some = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    some = some.filter("parts > 1")
+    salted = rows.join(some, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.sequence(F.lit(0), F.col("parts") - 1)
+    salted = salted.withColumn("part", F.explode(F.when(F.col("other"), F.array(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))).otherwise(own))).drop("parts")
     placed = salted.repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", "other")
     return placed.mapInArrow(count, "a long, b long, both int")
 
