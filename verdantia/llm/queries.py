@@ -10,6 +10,7 @@ from .jaccard_join import op5_jaccard_join
 from .language_id import op10_language_id
 from .language_model import op3_language_model
 from .quality_rules import op8_quality_rules
+from .suffix_dedup import op6_suffix_dedup
 from .token_store import op9_token_store
 from .url_reputation import op2_url_reputation
 
@@ -21,6 +22,7 @@ QUERIES = {
         op3_language_model,
         op4_decontamination,
         op5_jaccard_join,
+        op6_suffix_dedup,
         op7_html_text,
         op8_quality_rules,
         op9_token_store,
