@@ -1,6 +1,325 @@
-"""Every registered query of the botanical engine: name -> (function, oracle SQL or None)."""
+"""Every registered query of the botanical engine over the driver's tables, and its oracle SQL.
+
+Description text is synthesised from ``part`` (p_partkey k, p_size s) by the same concatenation in both engines, which then
+each have to read it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import text as T
+from ..operators import frames as O
+from ..sources import html as H
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_S = "CAST(p_size AS {s})"
+
+
+def described(spark: SparkSession, sf_dir: str, expression: str, *keep: str) -> DataFrame:
+    """p_partkey, p_brand, p_size and ``text``, by an expression that both dialects have."""
+    return read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", *keep, F.expr(expression).alias("text"))
+
+
+RANGE = "concat('Stems (', p_size, '-)', p_size + 2, '-', p_size + 6, '(-', p_size + 9, ') cm tall.')"
+
+
+@query("""SELECT p_brand, min(p_size)::DOUBLE AS min_cm, max(p_size + 9)::DOUBLE AS max_cm, round(avg(p_size), 2) AS mean_min_cm, count(*) AS n FROM part GROUP BY p_brand""")
+def range_minmax_by_brand(spark, sf_dir):
+    df = described(spark, sf_dir, RANGE).select("p_brand", N.number_range(F.col("text")).alias("r"), N.unit(F.col("text")).alias("u"))
+    df = df.select("p_brand", N.least_most(F.col("r")).alias("b"), "u").select("p_brand", N.convert(F.col("b.min"), F.col("u")).alias("lo"), N.convert(F.col("b.max"), F.col("u")).alias("hi"))
+    return df.groupBy("p_brand").agg(F.min("lo").alias("min_cm"), F.max("hi").alias("max_cm"), F.round(F.avg("lo"), 2).alias("mean_min_cm"), F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, regexp_extract(t, '\\((\\d+)-\\)', 1)::DOUBLE AS lower_v, regexp_extract(t, '\\)(\\d+)-', 1)::DOUBLE AS from_v, regexp_extract(t, '-(\\d+)\\(', 1)::DOUBLE AS to_v, regexp_extract(t, '\\(-(\\d+)\\)', 1)::DOUBLE AS upper_v
+FROM (SELECT p_partkey, concat('Stems (', p_size, '-)', p_size + 2, '-', p_size + 6, '(-', p_size + 9, ') cm tall.') AS t FROM part)""")
+def range_parts(spark, sf_dir):
+    r = N.number_range(F.col("text"))
+    return described(spark, sf_dir, RANGE).select("p_partkey", *(r[x].alias(f"{x}_v") for x in ("lower", "from", "to", "upper")))
+
+
+@query("""SELECT p_partkey, p_size / 10.0::DOUBLE AS length_cm, (p_size + 3) / 10.0::DOUBLE AS width_cm FROM part""")
+def dimension_split(spark, sf_dir):
+    parts = N.dimension_parts(F.col("text"))
+    df = described(spark, sf_dir, "concat('Petals ', p_size, ' x ', p_size + 3, ' mm.')").select("p_partkey", parts.alias("d"))
+    value = lambda k: F.round(N.convert(N.numbers(F.col("d")[k]["text"])[0].cast("double"), F.col("d")[k]["unit"]), 6)
+    return df.select("p_partkey", value(0).alias("length_cm"), value(1).alias("width_cm"))
+
+
+@query("""SELECT p_partkey, NULL::VARCHAR AS length_text, concat(p_size, ' cm wide') AS width_text FROM part""")
+def dimension_fold(spark, sf_dir):
+    df = described(spark, sf_dir, "concat('Spike ', p_size, ' cm wide and ', p_size + 5, ' cm.')").select("p_partkey", N.fold_dimensions(N.measurements(F.col("text"))).alias("f"))
+    return df.select("p_partkey", F.col("f.LENGTH.text").alias("length_text"), F.col("f.WIDTH.text").alias("width_text"))
+
+
+@query("""SELECT p_partkey, concat(p_size, ' cm long') AS kept, 1 AS n FROM part""")
+def measurement_scope(spark, sf_dir):
+    df = described(spark, sf_dir, "concat('Petals ', p_size, ' cm long with lamina ', p_size + 1, ' cm.')")
+    found = O.scope(N.measurements(F.col("text")), F.array(F.lit(1)))
+    return df.select("p_partkey", found.alias("m")).select("p_partkey", F.col("m")[0]["text"].alias("kept"), F.size("m").alias("n"))
+
+
+@query("""SELECT p_partkey, concat('2n = ', 2 * p_size, ', ', 4 * p_size) AS ploidy FROM part""")
+def ploidy_extract(spark, sf_dir):
+    return described(spark, sf_dir, "concat('Annual. 2n = ', 2 * p_size, ', ', 4 * p_size, '.')").select("p_partkey", N.ploidy(F.col("text")).alias("ploidy"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE (p_partkey % 3)::DOUBLE END AS min_v, p_size::DOUBLE AS max_v FROM part""")
+def zero_is_no_minimum(spark, sf_dir):
+    df = described(spark, sf_dir, "concat('Roots ', p_partkey % 3, '-', p_size, ' cm deep.')").select("p_partkey", "p_size", N.least_most(N.number_range(F.col("text"))).alias("b"))
+    return df.select("p_partkey", F.coalesce("b.min", F.col("p_size").cast("double")).alias("min_v"), F.col("b.max").alias("max_v"))
+
+
+@query("""SELECT p_partkey, (p_partkey % 7 + 1)::VARCHAR AS number, 'stamens' AS part FROM part""")
+def part_counts(spark, sf_dir):
+    df = described(spark, sf_dir, "concat(p_partkey % 7 + 1, ' stamens.')").select("p_partkey", F.explode(N.counts(F.col("text"), ["stamens", "petals"])).alias("c"))
+    return df.select("p_partkey", "c.number", "c.part")
+
+
+@query("""SELECT doc_id, replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '--', '-'), '–', '-') AS text FROM documents""")
+def normalise_whitespace(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.translate(F.replace(T.collapse_space(F.col("text")), F.lit("--"), F.lit("-")), "–", "-").alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '--', '-'), '–', '-'), ',(\\s+[A-Z])', '.\\1', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '\\bem\\b')""")
+def comma_to_period(spark, sf_dir):
+    return read(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\bem\b")).select("doc_id", T.common_errors(F.col("text")).alias("text"))
+
+
+@query("""SELECT p_partkey, concat('Leaves ', p_size, ' cm, inflorescence ', p_size + 1, ' cm diameter') AS text FROM part""")
+def abbrev_expand(spark, sf_dir):
+    return described(spark, sf_dir, "concat('Lvs ', p_size, ' cm, infl. ', p_size + 1, ' cm diam.')").select("p_partkey", T.expand_abbreviations(F.col("text")).alias("text"))
+
+
+@query("""SELECT p_partkey, concat('about ', round_even((p_partkey % 9 + 1)::DOUBLE / (p_size % 9 + 1)::DOUBLE, 1), ' of stem') AS text FROM part""")
+def fraction_decimal(spark, sf_dir):
+    return described(spark, sf_dir, "concat('about ', p_partkey % 9 + 1, '/', p_size % 9 + 1, ' of stem')").select("p_partkey", T.fractions(F.col("text")).alias("text"))
+
+
+@query("""SELECT p_partkey, concat('leaf ', p_size, ' cm, root (', p_size, ')') AS text FROM part""")
+def conjoined_split(spark, sf_dir):
+    return described(spark, sf_dir, "concat('leaf', p_size, 'cm,root(', p_size, ')')").select("p_partkey", T.split_conjoined(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, translate(text, 'éèêçàùïöäüñóíá', 'eeecauioaunoia') AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7Féèêçàùïöäüñóíá]')""")
+def translit(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7Féèêçàùïöäüñóíá]"))
+    return df.select("doc_id", T.transliterate(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '([a-zA-Z0-9_])-[\\s\\n]+', '\\1', 'g'), '\\.[ \\t]+\\n', E'.\\n', 'g') AS text FROM documents""")
+def page_hyphenation(spark, sf_dir):
+    t = F.regexp_replace(F.regexp_replace("text", r"(\w)-[\s\n]+", "$1"), r"(\.)[ \t]+(\n)", "$1$2")
+    return read(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+
+
+@query()
+def ocr_normalise(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalise_page(F.col("text")).alias("text"))
+
+
+VOCABULARY = ["the", "and", "that", "this", "with", "for", "was", "are", "of", "to", "in"]
+_VOC = ", ".join(f"'{w}'" for w in VOCABULARY)
+
+
+@query(f"""SELECT doc_id, length(text) >= 100 AND len(list_intersect(list_distinct(regexp_extract_all(lower(text), '\\S+')), [{_VOC}])) >= 5 AS is_description FROM documents""")
+def vocab_classifier(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.mentions(F.col("text"), VOCABULARY).alias("is_description"))
+
+
+@query(f"""SELECT quality::BIGINT AS truth, (length(text) >= 100 AND len(list_intersect(list_distinct(regexp_extract_all(lower(text), '\\S+')), [{_VOC}])) >= 5)::BIGINT AS guess, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def vocab_vs_labels(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    return O.confusion(df.select(F.col("quality").cast("long").alias("q"), T.mentions(F.col("text"), VOCABULARY).cast("long").alias("g")), "q", "g")
+
+
+@query("""SELECT p_partkey, 3 AS n, concat(' ', p_size, ' ovaries.')[2:] AS last FROM part""")
+def sentence_split(spark, sf_dir):
+    s = T.sentences(F.concat(F.lit("Herb; stem branched. Leaves ca. 5 cm branched. "), F.col("p_size"), F.lit(" ovaries.")))
+    return read(spark, sf_dir, "part").select("p_partkey", (F.size(s) - 1).alias("n"), F.element_at(s, -1).alias("last"))
+
+
+@query("""SELECT doc_id, i::INT AS idx, length(p) > 1 AND len(regexp_extract_all(p, '[a-z]+')) <= 1 AS title, regexp_matches(p, '^[0-9]+[a-zA-Z][.| ]') AS figure
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)""")
+def title_figure_paragraphs(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "p"))
+    return df.select("doc_id", "idx", T.is_title(F.col("p")).alias("title"), T.is_figure(F.col("p")).alias("figure"))
+
+
+def _paragraphs(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+    n = lambda w: F.regexp_count("text", F.lit(rf"\b{w}\b"))
+    return df.select("page_id", "idx", "text", T.is_figure(F.col("text")).alias("figure"), T.is_title(F.col("text")).alias("title"), (n("The") + n("And")).alias("n_taxa"), n("The").alias("n_match"))
+
+
+_STATE = """WITH p AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
+a AS (SELECT *, regexp_matches(text, '^[0-9]+[a-zA-Z][.| ]') AS figure, length(text) > 1 AND len(regexp_extract_all(text, '[a-z]+')) <= 1 AS title,
+  len(regexp_extract_all(text, '\\bThe\\b')) AS n_match, len(regexp_extract_all(text, '\\bAnd\\b')) + len(regexp_extract_all(text, '\\bThe\\b')) AS n_taxa FROM p),
+b AS (SELECT *, sum(n_match) OVER (PARTITION BY page_id) AS total, CASE WHEN figure THEN NULL WHEN title THEN false WHEN n_taxa > 0 THEN n_match > 0 AND n_match = n_taxa END AS event FROM a),
+c AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER w, false) AS flag, sum(CASE WHEN NOT figure AND NOT title THEN n_match ELSE 0 END) OVER w AS seen FROM b WHERE total > 0 WINDOW w AS (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, max((NOT figure AND NOT title AND n_taxa > 0 AND NOT flag AND seen >= total)::INT) OVER (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS stopped FROM c),
+e AS (SELECT page_id, idx::INT AS idx, text FROM d WHERE flag AND NOT figure AND NOT title AND stopped = 0)
+"""
+
+
+@query(_STATE + "SELECT * FROM e")
+def paragraph_state(spark, sf_dir):
+    return O.description_paragraphs(_paragraphs(spark, sf_dir))
+
+
+@query(_STATE + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM e GROUP BY page_id")
+def paragraph_concat(spark, sf_dir):
+    return O.join_paragraphs(O.description_paragraphs(_paragraphs(spark, sf_dir)))
+
+
+_TRAITS = [("red", "red", "flower red", "petal"), ("white", "white", "flower white", None), ("leaf", "leaves", "leafy", "plant"), ("small", "brass", "fruit small", "fruit"), ("brass", "copper", "metallic", None)]
+
+
+@query("""WITH t(term, character, trait, trait_part) AS (VALUES ('red', 'red', 'flower red', 'petal'), ('white', 'white', 'flower white', NULL), ('leaf', 'leaves', 'leafy', 'plant'), ('small', 'brass', 'fruit small', 'fruit'), ('brass', 'copper', 'metallic', NULL)),
+e AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS text, CASE p_partkey % 4 WHEN 0 THEN 'plant' WHEN 1 THEN 'petal' WHEN 2 THEN 'fruit' END AS part FROM part)
+SELECT DISTINCT id, text, part, false AS is_part, term, character, trait, trait_part FROM e JOIN t ON text = term OR text = character OR regexp_replace(text, 's$', '') = term
+WHERE coalesce((part = 'plant' AND (trait_part IS NULL OR trait_part = 'plant')) OR (part <> 'plant' AND part = trait_part) OR (part IS NULL AND trait_part IS NULL), false)""")
+def dictionary_join(spark, sf_dir):
+    part = F.when(F.col("p_partkey") % 4 == 0, "plant").when(F.col("p_partkey") % 4 == 1, "petal").when(F.col("p_partkey") % 4 == 2, "fruit")
+    e = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.split("p_name", " ")[0]).alias("text"), part.alias("part"), F.lit(False).alias("is_part"))
+    return O.dictionary_join(e, spark.createDataFrame(_TRAITS, "term string, character string, trait string, part string"))
+
+
+@query("""SELECT * FROM (VALUES ('leaf', 'leaf'), ('lamina', 'leaf'), ('fruit', 'fruit'), ('drupe', 'fruit'), ('stem', 'stem'), ('stems', 'stem')) AS v(term, part)""")
+def part_canonical(spark, sf_dir):
+    return O.part_terms(spark.createDataFrame([("leaf", ["lamina"]), ("fruit", ["drupe"]), ("drupe", None), ("stem", None)], "part string, synonyms array<string>").filter("part <> 'drupe'"))
+
+
+@query("""SELECT n_name AS taxon, o AS synonym FROM (SELECT a.n_name, b.n_name AS o FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name <> b.n_name)""")
+def synonym_closure(spark, sf_dir):
+    """Nations as names: the first of each region is accepted, the others are its synonyms."""
+    n = read(spark, sf_dir, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("accepted"))
+    flora = n.join(first, "n_regionkey").select(F.col("n_name").alias("scientificName"), F.col("n_nationkey").alias("taxonID"), F.col("accepted").alias("acceptedNameUsageID"), F.lit("SPECIES").alias("taxonRank"), F.when(F.col("n_nationkey") == F.col("accepted"), "ACCEPTED").otherwise("SYNONYM").alias("taxonomicStatus"))
+    return O.synonyms(n.select(F.col("n_name").alias("taxon")), flora)
+
+
+@query("""SELECT l_orderkey AS page_id, p_name AS name_confirmed FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 7)""")
+def page_semijoin(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    index = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("page_id"), F.col("p_name").alias("name_confirmed"))
+    return O.pages_of(part.filter("p_size = 7").select(F.col("p_name").alias("name")).distinct(), index)
+
+
+@query("""SELECT o_orderkey, concat(lpad((o_custkey)::VARCHAR, 6, '0')[1:3], '/', lpad(o_custkey::VARCHAR, 6, '0'), '/', lpad(o_custkey::VARCHAR, 6, '0'), '-', lpad(o_orderkey::VARCHAR, 8, '0'), '-', lpad((o_orderkey % 100)::VARCHAR, 4, '0')) AS key FROM orders""")
+def archive_key(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.archive_key(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 100).alias("key"))
+
+
+@query("""SELECT p_brand, min(p_size) AS size_min, max(p_size) AS size_max, CASE WHEN min(p_size) = max(p_size) THEN min(p_size)::VARCHAR ELSE concat(min(p_size), '-', max(p_size)) END AS size,
+  string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS kinds, concat(max(p_size)::DECIMAL(18, 2), ' cm') AS "height max" FROM part GROUP BY p_brand""")
+def type_directed_agg(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").alias("size_min"), F.col("p_size").alias("size_max"), F.col("p_size").alias("size"), F.col("p_type").alias("kinds"), F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("cm")).alias("height max"))
+    return O.aggregate_by_type(df, "p_brand", "p_partkey", ("height max",))
+
+
+@query("""SELECT l_suppkey, CASE WHEN min(l_linenumber) = max(l_linenumber) THEN min(l_linenumber)::VARCHAR ELSE concat(min(l_linenumber), '-', max(l_linenumber)) END AS lines FROM lineitem GROUP BY l_suppkey""")
+def num_range(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(O.num_range(F.col("l_linenumber")).alias("lines"))
+
+
+@query("""SELECT p_size, CASE WHEN count(*) FILTER (p_partkey % 2 = 0) = 0 THEN string_agg(concat('2n = ', p_partkey), '| ' ORDER BY concat('2n = ', p_partkey)) ELSE
+  (SELECT string_agg(DISTINCT x, ', ' ORDER BY x) FROM (SELECT unnest(string_split(p_name, ' ')) AS x, q.p_size AS s FROM part q WHERE q.p_partkey % 2 = 0) WHERE s = p.p_size) END AS terms FROM part p GROUP BY p_size""")
+def concat_terms(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_size", F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit(", "))).otherwise(F.concat(F.lit("2n = "), F.col("p_partkey").cast("string"))).alias("t"))
+    return df.groupBy("p_size").agg(O.terms(F.col("t")).alias("terms"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
+def last_wins(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN p_brand ELSE (p_size % 7)::VARCHAR END AS "first [mm]", p_type, NULL::VARCHAR AS missing FROM part""")
+def coalesce_template(spark, sf_dir):
+    df = read(spark, sf_dir, "part").withColumn("rest", F.nullif(F.col("p_size") % 7, F.lit(0)))
+    return O.project_template(df, {"first [mm]": ["rest", "p_brand"], "p_type": None, "missing": "nowhere"}, ["p_partkey"])
+
+
+@query("""SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, NULL::INT AS nation FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier""")
+def union_missing_cols(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return O.combine([a, read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))])
+
+
+@query("""SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3""")
+def limit_per_group(spark, sf_dir):
+    return O.limit_per_group(read(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 3)
+
+
+@query("""SELECT p_partkey, nullif(p_size % 7, 0) AS a, nullif(p_size % 5, 0) AS b FROM part WHERE p_size % 35 <> 0""")
+def dropna_all(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size") % 7, F.lit(0)).alias("a"), F.nullif(F.col("p_size") % 5, F.lit(0)).alias("b"))
+    return O.drop_empty(df, ["p_partkey"])
+
+
+@query("""SELECT doc_id, quality, CASE WHEN r <= 0.7 + 1e-12 THEN 'train' WHEN r <= 0.85 + 1e-12 THEN 'dev' ELSE 'test' END AS split FROM (
+  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) / count(*) OVER (PARTITION BY quality) AS r FROM labels)""")
+def stratified_split(spark, sf_dir):
+    return O.stratified(read(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", {"train": 0.7, "dev": 0.15, "test": 0.15})
+
+
+@query("""SELECT doc_id, len(regexp_split_to_array(trim(split_part(text, '.', 1)), '\\s+')) = 2 AND trim(split_part(text, '.', 1)) <> '' AS binomial FROM documents""")
+def binomial_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.is_binomial(F.split("text", r"\.")[0]).alias("binomial"))
+
+
+@query("""SELECT p_partkey, concat(upper(p_name[1:1]), lower(p_name[2:])) AS name FROM part""")
+def capitalise(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.capitalise(F.col("p_name")).alias("name"))
+
+
+@query("""SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, sha256(p_name) AS hash FROM part""")
+def slug_hash(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), F.sha2("p_name", 256).alias("hash"))
+
+
+@query("""SELECT p_partkey, round(p_size * f, 12) AS metres FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1.0 ELSE 0.3048 END AS f FROM part)""")
+def unit_conversion(spark, sf_dir):
+    unit = F.element_at(F.array(*map(F.lit, ("mm", "cm", "m", "ft"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(N.convert(F.col("p_size").cast("double"), unit, "m"), 12).alias("metres"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
+def html_links(spark, sf_dir):
+    links = H.links(read(spark, sf_dir, "pages"), "page_id", "html")
+    return links.select("page_id", F.size("links").cast("long").alias("n_links"))
+
+
+@query()
+def html_paragraphs(spark, sf_dir):
+    return H.paragraphs(read(spark, sf_dir, "pages"), "page_id", "html", "article")
+
+
+@query()
+def description_traits(spark, sf_dir):
+    """End to end: normalise, split, fold measurements, convert, aggregate."""
+    text = "concat('Herb. Lvs ', p_size, '-', p_size + 5, ' mm long; petals ', p_size, ' x ', p_size + 3, ' cm.')"
+    rows = O.sentence_rows(described(spark, sf_dir, text).select("p_brand", T.normalise(F.col("text")).alias("text")), "p_brand")
+    folded = rows.select("p_brand", "idx", N.fold_dimensions(N.measurements(F.col("sentence"))).alias("f")).filter("f.LENGTH is not null")
+    value = N.convert(N.least_most(N.number_range(F.regexp_replace("f.LENGTH.text", "[a-zA-Z]", "")))["min"], F.col("f.LENGTH.unit"))
+    return folded.groupBy("p_brand", "idx").agg(F.round(F.min(value), 4).alias("min_length_cm"), F.count("*").alias("n"))
