@@ -34,6 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the plan just run
     return spark.read.schema(df.schema).parquet(path)
 
 
