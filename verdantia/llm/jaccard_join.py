@@ -8,6 +8,8 @@
    and positional bounds) is skipped. Pairs of different components remain, and their answer is derived from the pivot's
    where that decides: with o(x, p) and o(y, p) computed, o(x, y) is at least o(x, p) + o(y, p) - |p| and at most
    o(x, p) + |y| - o(y, p). What that leaves open is compared exactly.
+   Before sets travel for a comparison, their parity bitmaps bound the answer: sets whose bitmaps differ in d bits have at
+   least d elements that are not in both, so share (|x| + |y| - d) / 2 at most.
 4. Links are contracted to components, and classes give each row its component's smallest id.
 
 Two sets link when ``den * |both| >= num * |either|``. Shingles and sets are held as 64-bit hashes.
@@ -35,7 +37,8 @@ COMMON = 1 << 19  # common shingles sent to the tasks, the most frequent ones; a
 MERGE = 4096  # members up to which a list is held to merge it with equal ones
 BLOCK = 64
 PARTNERS = 512  # of a pivot in one task
-BITS = 23  # of the filter of classes in lists
+BITS = 23  # of the filter of classes to compare
+PARITY = 1024  # bits of a set's parity bitmap
 
 
 def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +66,23 @@ def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return shingles, edges, mix64(sums + np.diff(edges).astype(np.uint64)).view(np.int64)
 
 
+def parities(shingles: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+    """PARITY bits of each set, as longs: bit k is the parity of the number of its shingles with hash k modulo PARITY."""
+    n = len(edges) - 1
+    owner = np.repeat(np.arange(n), np.diff(edges))
+    odd = np.bincount(owner * PARITY + (shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    longs = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (PARITY // 64)), pa.array(longs))
+
+
+def _near(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps do not rule out. marks: cls, n, bits."""
+    a, b = (marks.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("na") + F.col("nb")
+    return pairs.join(a, "a").join(b, "b").filter((both - differ) * (num + den) >= 2 * num * both).select("a", "b")
+
+
 def _least(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     """Shingles that sets of these sizes must share."""
     return -(-(num * (n + m)) // (num + den))
@@ -209,9 +229,10 @@ def _sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
-def _overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(a, b, both): exact overlaps of distinct pairs (a, b). The set of ``a`` travels once, each ``b``'s once a pair."""
     spark = pairs.sparkSession
+    held = _sets_of(docs, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), width)
     selves = pairs.select("a").distinct().select("a", F.col("a").alias("b"))
     rows = pairs.select("a", "b").unionByName(selves).join(held.withColumnRenamed("cls", "b"), "b").select("a", "b", "shingles", (F.col("a") != F.col("b")).alias("other"))
 
@@ -301,17 +322,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
 
 
-def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes of ``docs`` (text), enough of them to connect every component."""
+def linked(docs: DataFrame, marks: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes of ``docs`` (text; marks: their cls, n, bits), enough of them to connect every component."""
     lists = stored(_lists(docs, width, num, den), "lists")
     score = lists.join(lists.groupBy("list").agg(F.count("*").alias("m")), "list").groupBy("cls").agg(F.sum("m").alias("score"))
     scored = lists.join(score, "cls")
     pivots = scored.groupBy("list").agg(F.max(F.struct("score", "cls", "n")).alias("p")).select("list", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = stored(lists.join(pivots, "list"), "members")
-    held = stored(_sets_of(docs, lists.select("cls").distinct(), width), "sets")
     fits = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
     first = members.filter((F.col("pivot") != F.col("cls")) & fits).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    answers = stored(_overlaps(first, held), "answers")
+    answers = stored(_overlaps(stored(_near(first, marks, num, den), "first"), docs, width), "answers")
     sizes = lists.select("cls", "n").distinct()
     enough = lambda df: df.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").filter(F.col("both") * (num + den) >= (F.col("na") + F.col("nb")) * num)
     links = stored(enough(answers).select("a", "b"), "links")
@@ -320,8 +340,8 @@ def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     rows = rows.select("list", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"), F.when(F.col("pivot") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1))).alias("both"), "pivot_n")
     open_pairs = stored(_open_pairs(rows, num, den), "pairs")
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = open_pairs.filter("not linked").select("a", "b").join(done, ["a", "b"], "left_anti")
-    return links.unionByName(open_pairs.filter("linked").select("a", "b")).unionByName(enough(_overlaps(rest, held)).select("a", "b"))
+    rest = stored(_near(open_pairs.filter("not linked").select("a", "b").join(done, ["a", "b"], "left_anti"), marks, num, den), "rest")
+    return links.unionByName(open_pairs.filter("linked").select("a", "b")).unionByName(enough(_overlaps(rest, docs, width)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -331,12 +351,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def classes(batches):
         for batch in by_bytes(batches, 1):
-            _, edges, cls = sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(cls)], names=["doc_id", "n", "cls"])
+            shingles, edges, cls = sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(cls), parities(shingles, edges)], names=["doc_id", "n", "cls", "bits"])
 
-    known = stored(rows.mapInArrow(classes, f"doc_id {kind}, n long, cls long"), "classes")
+    known = stored(rows.mapInArrow(classes, f"doc_id {kind}, n long, cls long, bits array<bigint>"), "classes")
+    marks = stored(known.filter("n > 0").dropDuplicates(["cls"]).select("cls", "n", "bits"), "marks")
+    known = known.drop("bits")
     full = known.filter("n > 0")
-    named = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(components(linked(rows, width, num, den)), "cls", "left")
+    named = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(components(linked(rows, marks, width, num, den)), "cls", "left")
     named = stored(named.select("cls", F.coalesce("comp", "cls").alias("comp"), "first"), "named")
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     parts = 16
