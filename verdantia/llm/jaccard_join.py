@@ -38,7 +38,7 @@ MERGE = 4096  # members up to which a list is held to merge it with equal ones
 BLOCK = 64
 PARTNERS = 512  # of a pivot in one task
 BITS = 23  # of the filter of classes to compare
-PARITY = 1024  # bits of a set's parity bitmap
+PARITY = (1024, 1 << 20)  # least and most bits of a set's parity bitmap
 
 
 def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +67,30 @@ def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def parities(shingles: np.ndarray, edges: np.ndarray) -> pa.ListArray:
-    """PARITY bits of each set, as longs: bit k is the parity of the number of its shingles with hash k modulo PARITY."""
-    n = len(edges) - 1
-    owner = np.repeat(np.arange(n), np.diff(edges))
-    odd = np.bincount(owner * PARITY + (shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    """The parity bitmap of each set, as longs: bit k is the parity of the number of its shingles with hash k modulo the bitmap's bits.
+
+    A set of n has the power of two from 4 n on, within PARITY; a bitmap's halves give the one of half as many bits.
+    """
+    n = np.diff(edges)
+    bits = 1 << np.ceil(np.log2(np.clip(4 * n, *PARITY))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(base[:-1], n) + (shingles & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(base[-1])) & 1
     longs = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (PARITY // 64)), pa.array(longs))
+    return pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(longs))
+
+
+def _halved(bits: F.Column) -> F.Column:
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
 def _near(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps do not rule out. marks: cls, n, bits."""
+    """The pairs (a, b) that the bitmaps do not rule out (of sizes that differ by less than two, so that one halving makes them alike). marks: cls, n, bits."""
     a, b = (marks.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    x = F.when(F.size("bitsa") > F.size("bitsb"), _halved(F.col("bitsa"))).otherwise(F.col("bitsa"))
+    y = F.when(F.size("bitsb") > F.size("bitsa"), _halved(F.col("bitsb"))).otherwise(F.col("bitsb"))
+    differ = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     both = F.col("na") + F.col("nb")
     return pairs.join(a, "a").join(b, "b").filter((both - differ) * (num + den) >= 2 * num * both).select("a", "b")
 
