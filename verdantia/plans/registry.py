@@ -298,7 +298,7 @@ def slug_hash(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), F.sha2("p_name", 256).alias("hash"))
 
 
-@query("""SELECT p_partkey, round(p_size * f, 12) AS metres FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1.0 ELSE 0.3048 END AS f FROM part)""")
+@query("""SELECT p_partkey, round(p_size * f::DOUBLE, 12) AS metres FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1.0 ELSE 0.3048 END AS f FROM part)""")
 def unit_conversion(spark, sf_dir):
     unit = F.element_at(F.array(*map(F.lit, ("mm", "cm", "m", "ft"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return read(spark, sf_dir, "part").select("p_partkey", F.round(N.convert(F.col("p_size").cast("double"), unit, "m"), 12).alias("metres"))
