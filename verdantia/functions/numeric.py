@@ -39,8 +39,8 @@ def numbers(t: Column) -> Column:
 
 def number_range(t: Column) -> Column:
     """struct(lower, from, to, upper) of ``lower-)from-to(-upper``: null unless every number of the text has its place."""
-    lower = _d(F.regexp_extract(t, rf"({NUMBER})\s*-?\s*\)", 1))
-    inner = F.regexp_extract(F.regexp_replace(F.regexp_replace(t, rf"\(?\s*{NUMBER}\s*-?\s*\)", ""), rf"\(\s*-?\s*{NUMBER}\s*\)?", ""), rf"({NUMBER}(?:\s*-\s*{NUMBER})?)", 1)
+    lower = _d(F.regexp_extract(t, rf"(?<![-\d.])({NUMBER})\s*-?\s*\)", 1))
+    inner = F.regexp_extract(F.regexp_replace(F.regexp_replace(t, rf"(?:\(\s*)?(?<![-\d.]){NUMBER}\s*-?\s*\)", ""), rf"\(\s*-?\s*{NUMBER}\s*\)?", ""), rf"({NUMBER}(?:\s*-\s*{NUMBER})?)", 1)
     first, second = _d(F.trim(F.split(inner, "-", 2)[0])), _d(F.trim(F.try_element_at(F.split(inner, "-", 2), F.lit(2))))
     upper = _d(F.regexp_extract(t, rf"\(\s*-?\s*({NUMBER})", 1))
     upper = F.when(t.rlike(rf"\(\s*{NUMBER}\s*-?\s*\)"), _d(F.regexp_extract(t, rf"\)[^(]*\(\s*-?\s*({NUMBER})", 1))).otherwise(upper)
