@@ -102,18 +102,22 @@ def measurements(text: Column) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
-    """``docs`` with the struct ``out``: the measurements and ``bits``."""
+    """``docs`` with the struct ``out``: the measurements and ``bits``.
+
+    The bits are computed inside one expression that names the measurements once, so a filter pushed below it does too.
+    """
     names = [c for c in docs.columns if c != out]
     measured = docs.select(*map(column, names), measurements(column(text).cast("string")).alias(out))
-    spelled = {k: _qualified(v, out) for k, v in RULES.items()}
-    bits = sum((F.when(F.expr(v), F.lit(1 << k)).otherwise(F.lit(0)) for k, v in enumerate(spelled.values())), F.lit(0))
-    return measured.withColumn(out, column(out).withField("bits", bits.cast("int")))
+    fields = ", ".join(f"'{k}', m.{k}" for k in measured.schema[out].dataType.names)
+    bits = " + ".join(f"if({_of(rule)}, {1 << k}, 0)" for k, rule in enumerate(RULES.values()))
+    quoted = "`" + out.replace("`", "``") + "`"
+    return measured.withColumn(out, F.expr(f"element_at(transform(array({quoted}), m -> named_struct({fields}, 'bits', {bits})), 1)"))
 
 
-def _qualified(rule: str, out: str) -> str:
+def _of(rule: str) -> str:
     import re
 
-    return re.sub(r"\b(n_\w+|word_chars)\b", lambda m: f"`{out}`.{m[0]}", rule)
+    return re.sub(r"\b(n_\w+|word_chars)\b", r"m.\1", rule)
 
 
 def passes(policy: Policy, out: str = "quality") -> Column:
