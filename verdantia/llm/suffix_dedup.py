@@ -33,7 +33,8 @@ from .scan import _powers, by_bytes, raw
 LENGTH = 200
 GRAM = 16
 HOT = 20_000
-BATCH = 4 << 20  # bytes of regions compared at once
+BATCH = 2 << 20  # bytes of regions compared at once
+SLICE = 1 << 20  # bytes of texts whose windows are hashed at once
 STEP = 47  # places of a class of windows
 _PLACE = 28  # bits of a place within a slice
 
@@ -219,14 +220,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches):
-        for batch in by_bytes(batches, 0):
+        for batch in by_bytes(batches, 0, SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(regions(batch.column(0), length)[3].view(np.int64))], names=["a"])
 
     twice = stored(docs.select("text").mapInArrow(anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "anchors")
     sent = spark.sparkContext.broadcast(_bits(twice, "a"))
 
     def occurrences(batches):
-        for batch in by_bytes(batches, 2):
+        for batch in by_bytes(batches, 2, SLICE):
             own, first, last, a, r, _, _, _ = regions(batch.column(2), length)
             k = np.flatnonzero(_in(sent.value, a))
             own, first, last, a, r = (x[k] for x in (own, first, last, a, r))
@@ -239,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = spark.sparkContext.broadcast(_bits(several, "a"))
 
     def contexts(batches):
-        for batch in by_bytes(batches, 2):
+        for batch in by_bytes(batches, 2, SLICE):
             own, first, last, a, r, place, data, edges = regions(batch.column(2), length)
             k = np.flatnonzero(_in(some.value, a))
             own, first, last, a, r, place = (x[k] for x in (own, first, last, a, r, place))
@@ -275,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield spans()
 
     def fingerprints(batches):
-        for batch in by_bytes(batches, 3):
+        for batch in by_bytes(batches, 3, SLICE):
             data, edges = raw(batch.column(3))
             power, inverse = _powers(len(data) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
