@@ -54,7 +54,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: SQL cannot express BPE. The stages' operators are each tested against brute force; the chain as a whole is not yet.
+#: SQL cannot express BPE; tests compare the whole chain with plain Python.
 ORACLE_SQL = None
 
 
