@@ -198,7 +198,7 @@ def _pattern():
 
 @functools.lru_cache(maxsize=1)
 def _ids(path: str, job: str) -> PieceIds:
-    return PieceIds(Folder(load_ranks(path)), np.uint16, 1_000_000)
+    return PieceIds(Folder(load_ranks(path)), np.uint16, 480_000)
 
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", most: int = HEAD) -> DataFrame:

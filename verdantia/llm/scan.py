@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import mix64, ragged
+from .common import give_back, mix64, ragged
 
 #: Text bytes of a slice, unless one text alone is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -41,6 +41,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_BYT
             stop = min(max(stop, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
