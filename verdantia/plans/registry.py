@@ -13,6 +13,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import frames as O
 from ..sources import html as H
+from . import traits as P
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -323,3 +324,16 @@ def description_traits(spark, sf_dir):
     folded = rows.select("p_brand", "idx", N.fold_dimensions(N.measurements(F.col("sentence"))).alias("f")).filter("f.LENGTH is not null")
     value = N.convert(N.least_most(N.number_range(F.regexp_replace("f.LENGTH.text", "[a-zA-Z]", "")))["min"], F.col("f.LENGTH.unit"))
     return folded.groupBy("p_brand", "idx").agg(F.round(F.min(value), 4).alias("min_length_cm"), F.count("*").alias("n"))
+
+
+@query(
+    """SELECT p_brand, min(p_size)::DOUBLE AS leaf_min_mm, max(p_size + 5)::DOUBLE AS leaf_max_mm, max(p_size + 3)::DOUBLE AS petal_width_cm
+       FROM part GROUP BY p_brand"""
+)
+def traits_by_template(spark, sf_dir):
+    """Observations of every sentence, then one row a taxon by a template with units."""
+    text = "concat('Erect herb. Leaves ', p_size, '-', p_size + 5, ' mm long; petals ', p_size, ' x ', p_size + 3, ' cm.')"
+    rows = described(spark, sf_dir, text).select(F.col("p_brand").alias("taxon"), F.lit("part").alias("source"), "text")
+    template = {"leaf [mm] least": "leaf.length.min", "leaf [mm] most": "leaf.length.max", "petal [cm]": "petal.width.max"}
+    out = P.by_template(P.observations(rows, {"leaves": "leaf", "petals": "petal"}), template)
+    return out.toDF("p_brand", "leaf_min_mm", "leaf_max_mm", "petal_width_cm").select("p_brand", *(F.col(c).cast("double") for c in ("leaf_min_mm", "leaf_max_mm", "petal_width_cm")))
