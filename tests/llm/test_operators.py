@@ -5,6 +5,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,26 @@ def test_html(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", f"<nav>menu</nav>{boiler}<p>own text {k} &amp; more<br>x") for k in range(5)] + [(9, None, None)], "page_id long, url string, html string")
     got = by_id(html_text.main_text(pages), "page_id")
     assert got[3].text == "own text 3 & more x" and got[9].text == ""
+
+
+class Here:
+    """Stands for a frame of texts: runs the function of ``mapInArrow`` in this process."""
+
+    def __init__(self, spark, texts):
+        self.sparkSession, self.texts = spark, texts
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        list(run(iter([pa.RecordBatch.from_arrays([pa.array(self.texts, pa.string())], names=["text"])])))
+        return self.sparkSession.range(0).selectExpr("cast(id as int) as i", "0d as v", "1L as n")
+
+
+def test_language_model_learns_every_token_once(spark, docs, monkeypatch):
+    held, shares, *_ = language_model.vocabulary(language_model.piece_counts(docs, language_model.words, "text"), len(TEXTS))
+    targets = []
+    monkeypatch.setattr(language_model, "_steps", lambda trainer, kept: targets.extend(k for kind, _ in kept for k in kind.tolist()) or 0)
+    language_model.train(Here(spark, TEXTS), held, shares)
+    _, kind, _ = held.tokens(language_model.words(pa.array(TEXTS, pa.string())))
+    assert sorted(targets) == sorted(kind.tolist())

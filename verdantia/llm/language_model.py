@@ -10,8 +10,8 @@ with q the sum of each context class' vector times that position's matrix. The s
 product for a batch of tokens gives all normalised log-probabilities.
 
 What is gathered from the corpus: counts of every word of every training text; and the parameters, which each task fits by
-noise-contrastive estimation to every ``STRIDE``-th token of its training texts, are averaged by weight over all tasks,
-``ROUNDS`` times. Frequent words (at most ``HEAD``) go to the tasks with their counts; the others' counts are joined.
+noise-contrastive estimation to its training texts, are averaged by weight over all tasks, ``ROUNDS`` times. Every token is
+a target in exactly one round, by its place in its text. Frequent words (at most ``HEAD``) go to the tasks with their counts; the others' counts are joined.
 
 Defined cases: null and empty texts are one end token; null ids count as the empty text in the split; repeated rows each
 get the score of one; without training rows the parameters stay at their start, and every count is 0; an empty table gives
@@ -38,7 +38,6 @@ GROUPS = 128
 ORDER = 4
 WIDTH = 24
 NOISE = 64
-STRIDE = 8
 ROUNDS = 2
 BATCH = 256
 RATE = 0.15
@@ -89,11 +88,12 @@ class Model:
         return out
 
 
-def _rows_sum(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    heads = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[heads], np.add.reduceat(values[order], heads, axis=0)
+def _rows_sum(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the sums of their values); rows lie below ``size``"""
+    width = values.shape[1]
+    cells = (rows[:, None] * width + np.arange(width)).ravel()
+    at = np.flatnonzero(np.bincount(rows, minlength=size))
+    return at, np.bincount(cells, values.ravel(), size * width).reshape(size, width)[at].astype(values.dtype)
 
 
 class Trainer:
@@ -101,7 +101,8 @@ class Trainer:
 
     def __init__(self, model: Model, shares: np.ndarray, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.shares, self.log_noise = shares, (np.log(shares) + math.log(NOISE)).astype(np.float32)
+        self.size, self.cdf = len(shares), np.cumsum(shares) / np.sum(shares)
+        self.log_noise = (np.log(shares) + math.log(NOISE)).astype(np.float32)
         self.past = [np.full(x.shape, 0.1, np.float32) for x in (model.context, model.target, model.place, model.bias)]
 
     def _move(self, which: int, parameter: np.ndarray, rows, gradient: np.ndarray) -> None:
@@ -111,20 +112,26 @@ class Trainer:
 
     def step(self, classes: np.ndarray, context: np.ndarray) -> None:
         m, n = self.m, len(classes)
-        noise = self.rng.choice(len(self.shares), NOISE, p=self.shares)
-        vectors = m.context[context]
-        q = sum(vectors[:, k] @ m.place[k] for k in range(ORDER))
-        real = (m.target[classes] * q).sum(axis=1) + m.bias[classes] - self.log_noise[classes]
-        other = q @ m.target[noise].T + (m.bias[noise] - self.log_noise[noise])
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE), "right"), self.size - 1)
+        place = m.place.reshape(ORDER * WIDTH, WIDTH)
+        vectors = m.context[context].reshape(n, ORDER * WIDTH)
+        q = vectors @ place
+        target, against = m.target[classes], m.target[noise]
+        real = np.einsum("ij,ij->i", target, q) + m.bias[classes] - self.log_noise[classes]
+        other = q @ against.T + (m.bias[noise] - self.log_noise[noise])
         a = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1)[:, None] / n * 8
         b = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / n * 8
-        dq = a * m.target[classes] + b @ m.target[noise]
-        rows = np.concatenate([classes, noise])
-        at, g = _rows_sum(rows, np.concatenate([np.hstack([a * q, a]), np.hstack([b.T @ q, b.sum(axis=0)[:, None]])]))
+        dq = a * target + b @ against
+        both = np.empty((n + NOISE, WIDTH + 1), np.float32)  # what moves the targets, and the bias
+        np.multiply(a, q, out=both[:n, :-1])
+        both[:n, -1:] = a
+        np.matmul(b.T, q, out=both[n:, :-1])
+        both[n:, -1] = b.sum(axis=0)
+        at, g = _rows_sum(np.concatenate([classes, noise]), both, self.size)
         self._move(1, m.target, at, g[:, :-1])
         self._move(3, m.bias, at, g[:, -1])
-        at, g = _rows_sum(context.ravel(), np.stack([dq @ m.place[k].T for k in range(ORDER)], axis=1).reshape(-1, WIDTH))
-        self._move(2, m.place, slice(None), np.stack([vectors[:, k].T @ dq for k in range(ORDER)]))
+        at, g = _rows_sum(context.ravel(), (dq @ place.T).reshape(-1, WIDTH), self.size + 1)
+        self._move(2, m.place, slice(None), (vectors.T @ dq).reshape(ORDER, WIDTH, WIDTH))
         self._move(0, m.context, at, g)
 
 
@@ -198,6 +205,12 @@ def vocabulary(counts: DataFrame, texts: int, most: int = HEAD) -> tuple[Vocabul
     return held, shares, everything, sum(v for _, v in groups.values()) + (texts > 0), int(n.min()) if len(n) else 1
 
 
+def turn_of(cut: Cut) -> np.ndarray:
+    """The round in which each token, ends included, is a target."""
+    counts = cut.counts() + 1
+    return ragged(np.zeros(len(counts), np.int64), counts) % ROUNDS
+
+
 def train(docs: DataFrame, held: Vocabulary, shares: np.ndarray, text: str = "text") -> Model:
     """Averages, weighted by tokens, of what the tasks have fitted."""
     spark, model = docs.sparkSession, Model.start(shares)
@@ -208,8 +221,10 @@ def train(docs: DataFrame, held: Vocabulary, shares: np.ndarray, text: str = "te
             held, shares, flat = sent.value
             trainer, n, kept = Trainer(Model.of(flat, len(shares)), shares, turn), 0, []
             for batch in by_bytes(batches, 0):
-                _, kind, context = held.tokens(words(batch.column(0)))
-                kept.append((kind[turn::STRIDE], context[turn::STRIDE]))
+                cut = words(batch.column(0))
+                _, kind, context = held.tokens(cut)
+                own = turn_of(cut) == turn
+                kept.append((kind[own], context[own]))
                 if sum(len(k) for k, _ in kept) >= 16 * BATCH:
                     n += _steps(trainer, kept)
                     kept = []
