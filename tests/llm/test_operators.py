@@ -147,3 +147,17 @@ def test_language_model_learns_every_token_once(spark, docs, monkeypatch):
     language_model.train(Here(spark, TEXTS), held, shares)
     _, kind, _ = held.tokens(language_model.words(pa.array(TEXTS, pa.string())))
     assert sorted(targets) == sorted(kind.tolist())
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_html_shares_over_the_whole_host(spark, article):
+    draw = random.Random(5)
+    some = [" ".join(draw.choices("abcdefg", k=k)) for k in (1, 1, 2, 2, 3, 5, 6)]
+    rows = []
+    for k in range(40):
+        blocks = [draw.choice(some) if draw.random() < 0.6 else f"own {k} " + "x " * draw.randint(1, 4) for _ in range(draw.randint(0, 9))] + ["a line most pages have"] * (k % 4 > 0)
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        rows.append((k, f"http://h/{k}", f"<article>{body}</article>" if article and k % 3 else body))
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    whole, dealt = (sorted(map(tuple, html_text.main_text(pages, pages_a_shard=n).collect())) for n in (256, 4))
+    assert dealt == whole and not any("a line most" in text for _, _, text in dealt)

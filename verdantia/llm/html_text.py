@@ -9,9 +9,12 @@ prefix lengths finds the runs of at least ``LEAST_WORDS`` words that distinct pa
 boilerplate and go, unique runs stay: on pages without a marked article from two pages on, and inside a marked article
 (where copied passages are text) only from ``LEAST_PAGES`` pages and more than half of all those compared.
 
-A host's pages are compared in shards of about ``PAGES`` pages each, so that a host with a third of all pages is dealt over
-many tasks; a smaller host is one shard. The list of hosts that need more than one shard is bounded by ``LARGE_HOSTS``:
-shards grow until it fits.
+A host's pages lie in shards of about ``PAGES`` pages each, so that a host with a third of all pages is dealt over many
+tasks; a smaller host is one shard. The list of hosts that need more than one shard is bounded by ``LARGE_HOSTS``: shards
+grow until it fits. What pages share is found over the whole host all the same: a block is covered by a shared run if and
+only if it is by a shared run of ``LEAST_WORDS`` words that cannot be made shorter around it, which has at most that many
+blocks. The distinct pages of these least runs (as 64-bit hashes) are counted over all shards of a large host, and each
+shard gets the counts of the runs it has.
 
 Defined cases: null and empty pages have an empty text; pages with a null or odd url form the host ````; repeated rows of
 one page_id and url count as one page and each get the text; broken markup is read as it stands (an unclosed element ends with its parent);
@@ -177,6 +180,8 @@ def shared_lengths(order: np.ndarray, lcp: np.ndarray, page: np.ndarray, least:
             held[owners[left]] -= 1
             distinct -= held[owners[left]] == 0
             left += 1
+        if left and low and l_list[low[0]] > 0:  # a page seen before ends a window as well
+            best[order[right]] = max(best[order[right]], l_list[low[0]])
     for a, b, k in windows:  # each window's minimum holds for all its suffixes
         part = best[order[a : b + 1]]
         best[order[a : b + 1]] = np.maximum(part, k)
@@ -213,6 +218,34 @@ def boilerplate(pages: list[list[tuple[int, int, bool]]]) -> list[set[int]]:
     return out
 
 
+# ---------------------------------------------------------------- hosts of several shards
+def stream(texts: list[str], inside: list[bool]) -> tuple[list[int], list[tuple[int, int, bool]]]:
+    """(the blocks compared, their (hash, words, inside)): all, or with a marked article those inside it"""
+    kept = [k for k in range(len(texts)) if not any(inside) or inside[k]]
+    return kept, [(xxhash.xxh64_intdigest(texts[k]) >> 1, texts[k].count(" ") + 1, inside[k]) for k in kept]
+
+
+def least_runs(blocks: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
+    """(hash, first, stop) of the runs of at least ``LEAST_WORDS`` words that are too short without their first or last block."""
+    out = []
+    for at in range(len(blocks)):
+        size, key = 0, b""
+        for stop in range(at + 1, len(blocks) + 1):
+            h, n, _ = blocks[stop - 1]
+            before, size, key = size, size + n, key + h.to_bytes(8, "little")
+            if size >= LEAST_WORDS and (stop == at + 1 or min(before, size - blocks[at][1]) < LEAST_WORDS):
+                out.append((xxhash.xxh64_intdigest(key) - (1 << 63), at, stop))
+            if size - blocks[at][1] >= LEAST_WORDS and before >= LEAST_WORDS:
+                break
+    return out
+
+
+def covered(blocks: list[tuple[int, int, bool]], counts: dict[int, int], pages: int) -> set[int]:
+    """The blocks that shared runs cover, given the distinct pages of the host's shared runs and the host's pages."""
+    least = max(LEAST_PAGES, pages // 2 + 1) if blocks and blocks[0][2] else 2
+    return {k for h, at, stop in least_runs(blocks) if counts.get(h, 1) >= least for k in range(at, stop)}
+
+
 # ---------------------------------------------------------------- the operator
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", pages_a_shard: int = PAGES) -> DataFrame:
     """(page_id, url, text) of every row."""
@@ -223,11 +256,13 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", p
     while counts.filter(F.col("n") > size).count() > LARGE_HOSTS:
         size *= 4
     large = {r.host: -(-r.n // size) for r in counts.filter(F.col("n") > size).collect()}  # at most LARGE_HOSTS
-    sent = pages.sparkSession.sparkContext.broadcast(large)
+    of_large = rows.join(F.broadcast(counts.filter(F.col("n") > size).select("host")), "host", "left_semi")
+    distinct = {r.host: r.n for r in of_large.select("host", "page_id", "url").distinct().groupBy("host").agg(F.count("*").alias("n")).collect()} if large else {}
+    sent = pages.sparkSession.sparkContext.broadcast((large, distinct))
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def read(batches):
-        large = sent.value
+        large, _ = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
@@ -238,24 +273,52 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", p
                 inside = pa.array([[i for _, i in x] for x in blocks], pa.list_(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, b.column(1), texts, inside], names=["shard", "page_id", "url", "blocks", "inside"])
 
-    def clean(group: pa.Table) -> pa.Table:
+    def runs(batches):
+        large, _ = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple[str, int, int, int]] = []
+                for i, u, page, h in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    key, blocks = xxhash.xxh64_intdigest(repr((i, u))), read_blocks(page)
+                    own = stream([t for t, _ in blocks], [x for _, x in blocks])[1]
+                    out += [(h, key % large[h], key - (1 << 63), r) for r in {r for r, _, _ in least_runs(own)}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "part", "page", "run"])
+
+    def clean(group: pa.Table, shared: pa.Table | None = None) -> pa.Table:
+        large, distinct = sent.value
         texts, inside = group.column("blocks").to_pylist(), group.column("inside").to_pylist()
         keys = list(zip(group.column("page_id").to_pylist(), group.column("url").to_pylist(), strict=True))
-        kept = [[k for k in range(len(t)) if not any(i) or i[k]] for t, i in zip(texts, inside, strict=True)]
         number = {k: n for n, k in enumerate(dict.fromkeys(keys))}
         streams: list = [[] for _ in number]
-        for key, t, i, own in zip(keys, texts, inside, kept, strict=True):
+        kept = []
+        for key, t, i in zip(keys, texts, inside, strict=True):
+            own, blocks = stream(t, i)
+            kept.append(own)
             if not streams[number[key]]:
-                streams[number[key]] = [(xxhash.xxh64_intdigest(t[k]) >> 1, t[k].count(" ") + 1, i[k]) for k in own]
-        gone = boilerplate(streams)
+                streams[number[key]] = blocks
+        host = group.column("shard")[0].as_py().rpartition(" ")[0]
+        if host in large:
+            known = dict(zip(shared.column("run").to_pylist(), shared.column("n").to_pylist(), strict=True))
+            gone = [covered(blocks, known, distinct[host]) for blocks in streams]
+        else:
+            gone = boilerplate(streams)
         out = []
         for key, t, own in zip(keys, texts, kept, strict=True):
             drop = gone[number[key]]
             out.append("\n\n".join(t[k] for n, k in enumerate(own) if n not in drop))
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out, pa.string())})
 
+    parts, result = shuffle_partitions(pages.sparkSession), f"page_id {kind}, url string, text string"
     read_rows = rows.mapInArrow(read, f"shard string, page_id {kind}, url string, blocks array<string>, inside array<boolean>")
-    return read_rows.repartition(shuffle_partitions(pages.sparkSession), "shard").groupBy("shard").applyInArrow(clean, f"page_id {kind}, url string, text string")
+    by_shard = read_rows.repartition(parts, "shard").groupBy("shard")
+    if not large:
+        return by_shard.applyInArrow(lambda group: clean(group), result)
+    # A run has at most a shard's pages in one (host, part), so that no task gets all pages of a frequent one.
+    found = of_large.select("page_id", "url", "html", "host").mapInArrow(runs, "host string, part int, page long, run long")
+    of_part = found.repartition(parts, "host", "part", "run").distinct().groupBy("host", "part", "run").agg(F.count("*").alias("n"))
+    of_host = of_part.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("part")).filter("n > 1")
+    shared = of_host.select("host", F.explode("part").alias("part"), "run", "n").select(F.concat_ws(" ", "host", "part").alias("shard"), "run", "n")
+    return by_shard.cogroup(shared.repartition(parts, "shard").groupBy("shard")).applyInArrow(lambda group, shared: clean(group, shared), result)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
