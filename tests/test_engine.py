@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +8,11 @@ from verdantia.functions import numeric as N
 from verdantia.functions import text as T
 from verdantia.operators import frames as O
 from verdantia.plans import registry
+from verdantia.sources import html as H
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
+PLAIN = {"ocr_normalise", "html_paragraphs"}  # compared with plain Python below
 
 
 @pytest.fixture(scope="module")
@@ -38,22 +42,73 @@ def one(spark, text, column):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("10-20 cm", (None, 10, 20, None)), ("1.5-2(-2.2) mm", (None, 1.5, 2, 2.2)), ("(3-)5-7 cm", (3, 5, 7, None)), ("7", (None, 7, None, None)), ("1/2", None), ("none", None)],
+    [
+        ("10-20 cm", (None, 10, 20, None)),
+        ("1.5-2(-2.2) mm", (None, 1.5, 2, 2.2)),
+        ("(3-)5-7 cm", (3, 5, 7, None)),
+        ("0.5-1(1.5)", (None, 0.5, 1, 1.5)),
+        ("5-(6) cm", (None, 5, None, 6)),
+        ("(2-)3-4(-5)", (2, 3, 4, 5)),
+        ("( 2 - ) 3 - 4 ( - 5 )", (2, 3, 4, 5)),
+        ("7", (None, 7, None, None)),
+        ("1/2", None),
+        ("1 2 3 4 5", None),
+        ("none", None),
+        ("", None),
+        (None, None),
+    ],
 )
 def test_number_range(spark, text, want):
     got = one(spark, text, N.number_range)
     assert (got and tuple(got)) == want
 
 
-def test_typed_measurements_fold(spark):
-    got = one(spark, "leaves 10 cm long, 20-50 cm wide", lambda t: N.fold_dimensions(N.measurements(t)))
-    assert got.LENGTH.text.startswith("10") and got.WIDTH.text.startswith("20-50") and got.DEPTH is None
-
-
 def test_normaliser_keeps_clean_text(spark):
     assert one(spark, "A clean sentence. Another one.", T.normalise) == "A clean sentence. Another one."
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("LvS 3–10 × 0.4–0.8 cm,infl.4", "Leaves 3-10 x 0.4-0.8 cm, inflorescence 4"),
+        ("ca 5 c 4 em, The", "ca 5 ca. 4 cm. The"),
+        ("½ α ø Ł ā 5°", "1/2 a o L a 5 deg"),
+        ("leaf5cm(6)a 2n=4 cm3", "leaf 5 cm (6) a 2n=4 cm3"),
+        (None, None),
+    ],
+)
+def test_normaliser(spark, text, want):
+    assert one(spark, text, T.normalise) == want
+
+
+def test_every_character_to_ascii(spark):
+    assert one(spark, "Ω ﬁ é 日", T.transliterate_wide) == "O fi e 日"
+
+
+def test_page_normaliser_in_plain_python(spark):
+    def plain(t):
+        t = re.sub(r"(?i)(?<=\s)[vy]a[vr][.,]\s?", "var. ", t)
+        t = re.sub(r"(?<=\.)[ \t]+(?=\n)", "", re.sub(r"(?<=\w)-\s+", "", t, flags=re.A))
+        return re.sub(r"[^\S\n]+", " ", re.sub(r"(?<![.\n])\n+", " ", t), flags=re.A)
+
+    rows = registry.QUERIES["ocr_normalise"](spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in rows} == {k: plain(t) for k, t in texts.items()}
+    assert one(spark, "a con-\n  cave yav, x. \nnext\nline\n\npara", T.normalise_page) == "a concave var. x.\nnext line para"
+
+
+def test_paragraphs_of_html(spark):
+    page = "<p>out</p><article class='x'><p>One &amp; <b>two</b><p>Unclosed<p>HEAD 1</p><div><p>In div</p></div><p>T<table><tr><td>cell</td></tr></table></p></article><p>after</p>"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<article>no paragraph</article>")], "page_id long, html string")
+    got = {r.page_id: r.text for r in H.paragraphs(rows, "page_id", "html", "article", "x").collect()}
+    assert got == {1: "One & two\nUnclosed\nIn div", 2: None, 3: None, 4: None}
+    assert all(r.text is None or r.text for r in registry.QUERIES["html_paragraphs"](spark, DATA).collect())
+
+
+def test_every_query_has_an_oracle():
+    assert set(registry.QUERIES) - set(registry.ORACLE) == PLAIN
+
+
 def test_terms_of_ploidy_alone_and_mixed(spark):
     df = spark.createDataFrame([(1, "2n = 4"), (1, "2n = 8"), (2, "2n = 4"), (2, "red, blue"), (3, None)], "k int, t string")
     got = {r.k: r.x for r in df.groupBy("k").agg(O.terms(F.col("t")).alias("x")).collect()}

@@ -1,10 +1,16 @@
-"""Numbers, ranges, units and dimensions in text, as struct and array columns."""
+"""Numbers, ranges, units and dimensions in text.
+
+``lexemes`` cuts a sentence into numbers with their units, words and marks. ``parsed`` turns such lexemes, one a row, into
+columns; each is computed once. ``fold_dimensions`` assigns a part's measurements to dimensions in text order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Metres of each unit.
 UNITS = {
     "km": 1000.0, "kilometer": 1000.0, "kilometre": 1000.0,
@@ -24,9 +30,13 @@ DIMENSIONS = {
     "deep": "DEPTH", "depth": "DEPTH", "thick": "DEPTH",
     "diameter": "DIAMETER", "radius": "DIAMETER",
 }
+# Cubic metres of each unit of volume.
+VOLUMES = {"mm3": 1e-9, "cm3": 1e-6, "m3": 1.0, "mm³": 1e-9, "cm³": 1e-6, "m³": 1.0}
 DEFAULT_UNIT = "cm"
-_UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+_UNIT = "|".join(sorted([*UNITS, *VOLUMES], key=lambda u: (-len(u), u)))
+_DIM = "|".join(DIMENSIONS)
 NUMBER = r"[0-9]+(?:\.[0-9]*)?"
+_BOUNDS = rf"^[^0-9(]*(?:\(?\s*({NUMBER})\s*-?\s*\)\s*)?({NUMBER})?(?:\s*-?\s*({NUMBER}))?\s*-?\s*(?:\(\s*-?\s*({NUMBER}))?"
 
 
 def _d(x: Column) -> Column:
@@ -38,103 +48,126 @@ def numbers(t: Column) -> Column:
 
 
 def number_range(t: Column) -> Column:
-    """struct(lower, from, to, upper) of ``lower-)from-to(-upper``: null unless every number of the text has its place."""
-    lower = _d(F.regexp_extract(t, rf"(?<![-\d.])({NUMBER})\s*-?\s*\)", 1))
-    inner = F.regexp_extract(F.regexp_replace(F.regexp_replace(t, rf"(?:\(\s*)?(?<![-\d.]){NUMBER}\s*-?\s*\)", ""), rf"\(\s*-?\s*{NUMBER}\s*\)?", ""), rf"({NUMBER}(?:\s*-\s*{NUMBER})?)", 1)
-    first, second = _d(F.trim(F.split(inner, "-", 2)[0])), _d(F.trim(F.try_element_at(F.split(inner, "-", 2), F.lit(2))))
-    upper = _d(F.regexp_extract(t, rf"\(\s*-?\s*({NUMBER})", 1))
-    upper = F.when(t.rlike(rf"\(\s*{NUMBER}\s*-?\s*\)"), _d(F.regexp_extract(t, rf"\)[^(]*\(\s*-?\s*({NUMBER})", 1))).otherwise(upper)
-    n = F.size(numbers(t))
-    placed = sum((x.isNotNull().cast("int") for x in (lower, first, second, upper)), F.lit(0))
-    ok = (placed == n) & n.between(1, 4) & ~t.contains("/")
-    return F.when(ok, F.struct(lower.alias("lower"), first.alias("from"), second.alias("to"), upper.alias("upper")))
+    """struct(lower, from, to, upper) of ``(lower-)from-to(-upper)``: null unless every number of the text has its place.
+
+    What stands in brackets before the inner run is its lower extreme, what stands in brackets after it the upper one, with
+    or without a dash: ``0.5-1(1.5)`` and ``5-(6)`` have no lower extreme. One number alone is ``from``.
+    """
+    bounds = F.struct(*(_d(F.regexp_extract(t, _BOUNDS, k)).alias(name) for k, name in enumerate(("lower", "from", "to", "upper"), 1)))
+
+    def placed(x: Column) -> Column:
+        b = x["bounds"]
+        found = F.size(F.filter(F.array(*(b[k] for k in ("lower", "from", "to", "upper"))), lambda v: v.isNotNull()))
+        none = F.lit(None).cast("double")
+        one = F.struct(none.alias("lower"), F.coalesce(b["from"], b["lower"], b["upper"]).alias("from"), none.alias("to"), none.alias("upper"))
+        return F.when(x["n"] == 1, one).when((x["n"] <= 4) & (found == x["n"]), b)
+
+    return F.when(t.rlike("[0-9]") & ~t.contains("/"), let(F.struct(bounds.alias("bounds"), F.regexp_count(t, F.lit(NUMBER)).alias("n")), placed))
 
 
 def least_most(r: Column) -> Column:
     """struct(min, max): over the non-zero {lower, from} and {to, upper}; a single value is both."""
-    z = lambda name: F.nullif(r[name], F.lit(0.0))
-    single = r["to"].isNull() & r["upper"].isNull() & r["lower"].isNull()
-    return F.struct(F.least(z("lower"), z("from")).alias("min"), F.when(single, z("from")).otherwise(F.greatest(z("to"), z("upper"))).alias("max"))
+
+    def bounds(r: Column) -> Column:
+        z = lambda name: F.nullif(r[name], F.lit(0.0))
+        single = r["to"].isNull() & r["upper"].isNull() & r["lower"].isNull()
+        return F.struct(F.least(z("lower"), z("from")).alias("min"), F.when(single, z("from")).otherwise(F.greatest(z("to"), z("upper"))).alias("max"))
+
+    return let(r, bounds)
 
 
 def unit(t: Column) -> Column:
     """The last unit word of a text."""
-    return F.nullif(F.regexp_extract(t, rf"(?s)^.*(?<![\p{{L}}])({_UNIT})(?![\p{{L}}])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(t, rf"(?s)^.*(?<![\p{{L}}])({_UNIT})(?![\p{{L}}0-9])", 1), F.lit(""))
 
 
 def convert(value: Column, source: Column, target: Column | str = DEFAULT_UNIT) -> Column:
-    """To the target unit; null where a unit is unknown."""
-    factors = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    """To the target unit; null where a unit is unknown, or one is of length and the other of volume."""
     to = F.lit(target) if isinstance(target, str) else F.coalesce(target, F.lit(DEFAULT_UNIT))
-    return value * F.try_element_at(factors, source) / F.try_element_at(factors, to)
+    lengths, volumes = (F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) for table in (UNITS, VOLUMES))
+    of = lambda table: F.try_element_at(table, source) / F.try_element_at(table, to)
+    return value * F.coalesce(of(lengths), of(volumes))
 
 
 def dimension_parts(t: Column) -> Column:
     """array(struct(text, unit)) of ``A x B`` or ``A by B``; the first takes the second's unit if it has none, never the reverse."""
-    parts = F.split(t, r"(?i)\s*\b(?:x|by)\b\s*", 2)
-    a, b = parts[0], F.try_element_at(parts, F.lit(2))
-    return F.when(b.isNotNull(), F.array(F.struct(a.alias("text"), F.coalesce(unit(a), unit(b)).alias("unit")), F.struct(b.alias("text"), unit(b).alias("unit"))))
+    halves = F.transform(F.split(t, r"(?i)\s*\b(?:x|by)\b\s*", 2), lambda x: F.struct(x.alias("text"), unit(x).alias("unit")))
+
+    def both(h: Column) -> Column:
+        first = F.struct(h[0]["text"].alias("text"), F.coalesce(h[0]["unit"], h[1]["unit"]).alias("unit"))
+        return F.when(F.size(h) == 2, F.array(first, h[1]))
 
+    return let(halves, both)
 
-_RANGE = rf"(?:\(\s*)?{NUMBER}(?:\s*-?\s*\)\s*{NUMBER})?(?:\s*-\s*{NUMBER})?(?:\s*\(\s*-?\s*{NUMBER}\s*\))?"
+
+# ---------------------------------------------------------------- lexemes
+_RANGE = rf"(?:\(\s*)?{NUMBER}(?:\s*-?\s*\)\s*{NUMBER})?(?:\s*-\s*{NUMBER})?(?:\s*-?\s*\(\s*-?\s*{NUMBER}\s*\))?"
 _STOP = "and|or|to|of|in|at|by|the|a|an|is|are|with|from|on"
+_PLOIDY = r"\b2n ?=[ 0-9,]*[0-9]"
+_MEROUS = r"\b[0-9]+(?:-[0-9]+)?-merous\b"
+_SIZED = rf"{_RANGE}\s*(?:{_UNIT})(?![\p{{L}}0-9])"
+_TYPED = rf"{_SIZED}(?:\.?\s+(?:(?!(?:{_STOP})\b)[a-z]+\s+)?(?:{_DIM})\b)?"
+_CROSSED = rf"{_RANGE}(?:\s*(?:{_UNIT}))?\s*\b(?:x|by)\b\s*{_SIZED}"
+_WORD = r"[\p{L}]+(?:-[\p{L}]+)*"
+LEXEME = rf"{_PLOIDY}|{_MEROUS}|{_CROSSED}|{_TYPED}|{_RANGE}|{_WORD}|[,.;:]"
+
+
+def lexemes(t: Column) -> Column:
+    """array(string) in text order: chromosome counts, merosity, ``A x B unit``, ranges with a unit and the dimension word after it (or after one word that is no stop word), other ranges, words, and marks."""
+    return F.regexp_extract_all(t, F.lit(LEXEME), F.lit(0))
 
 
-def measurements(t: Column) -> Column:
-    """array(struct(pos, kind, text, unit, dim)) in text order: DIMENSION (A x B unit), MEASUREMENT (range unit, with the dimension word after it, or after one word that is no stop word), CARDINAL."""
-    u, d = f"(?:{_UNIT})", "|".join(DIMENSIONS)
-    pattern = rf"{_RANGE}(?:\s*{u})?\s*\b(?:x|by)\b\s*{_RANGE}\s*{u}\b|{_RANGE}\s*{u}\b(?:\s+(?:(?!(?:{_STOP})\b)[a-z]+\s+)?(?:{d})\b)?|{_RANGE}"
+def parsed(rows: DataFrame, text: str = "lexeme") -> DataFrame:
+    """``rows`` with kind (PLOIDY, MEROSITY, DIMENSION, MEASUREMENT, CARDINAL, WORD or MARK), dim, and sizes: array(struct(text, unit, least, most)).
+
+    DIMENSION has two sizes, MEASUREMENT and CARDINAL have one; a size without unit or bounds has null bounds. Lengths are
+    in centimetres, volumes in cubic centimetres, cardinals as they are.
+    """
+    t = F.col(text)
+    kind = F.when(t.rlike(rf"^{_PLOIDY}$"), "PLOIDY").when(t.rlike(rf"^{_MEROUS}$"), "MEROSITY").when(~t.rlike("[0-9]"), F.when(t.rlike(r"^\p{L}"), "WORD").otherwise("MARK"))
     names = F.create_map(*[F.lit(x) for kv in DIMENSIONS.items() for x in kv])
+    rows = rows.withColumn("kind", kind)
+    to_cm = F.create_map(*[F.lit(x) for kv in ({u: v / UNITS["cm"] for u, v in UNITS.items()} | {u: v / VOLUMES["cm3"] for u, v in VOLUMES.items()}).items() for x in kv])
+    own = F.array(F.struct(F.trim(t).alias("text"), unit(t).alias("unit")))
+    rows = rows.withColumn("__halves", F.when(F.col("kind").isNull(), F.coalesce(dimension_parts(t), own)))
+    sized = F.exists("__halves", lambda h: h["unit"].isNotNull())
+    rows = rows.withColumn("kind", F.coalesce("kind", F.when(F.size("__halves") == 2, "DIMENSION").when(sized, "MEASUREMENT").otherwise("CARDINAL")))
+    rows = rows.withColumn("dim", F.when(F.col("kind") == "MEASUREMENT", F.try_element_at(names, F.regexp_extract(t, rf"\b({_DIM})\b", 1))))
 
-    def entity(x: Column, i: Column) -> Column:
-        kind = F.when(x.rlike(r"\d\)?[^\d]*\b(?:x|by)\b\s*\(?\d"), "DIMENSION").when(unit(x).isNotNull(), "MEASUREMENT").otherwise("CARDINAL")
-        dim = F.when(kind == "MEASUREMENT", F.try_element_at(names, F.regexp_extract(x, rf"\b({d})\b", 1)))
-        return F.struct(i.alias("pos"), kind.alias("kind"), F.trim(x).alias("text"), unit(x).alias("unit"), dim.alias("dim"))
+    plain = lambda h: F.regexp_replace(h["text"], r"\p{L}+[23³]?", " ")
+    rows = rows.withColumn("__bounds", F.transform("__halves", lambda h: F.struct(least_most(number_range(plain(h))).alias("of"), F.when(F.col("kind") == "CARDINAL", 1.0).otherwise(F.try_element_at(to_cm, h["unit"])).alias("by"))))
 
-    return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), entity)
+    def size(h: Column, b: Column) -> Column:
+        return F.struct(h["text"].alias("text"), h["unit"].alias("unit"), (b["of"]["min"] * b["by"]).alias("least"), (b["of"]["max"] * b["by"]).alias("most"))
+
+    return rows.withColumn("sizes", F.zip_with("__halves", "__bounds", size)).drop("__halves", "__bounds")
 
 
 _SLOTS = ("LENGTH", "WIDTH", "HEIGHT", "DEPTH", "DIAMETER")
-_VALUE = "struct<text:string,unit:string>"
+SIZE = "struct<text:string,unit:string,least:double,most:double>"
 
 
 def fold_dimensions(entities: Column) -> Column:
-    """struct of the five dimensions' (text, unit), from one part's measurements in text order.
+    """map(dimension, size) of one part's entities (array of struct(..., kind, dim, sizes)), which stand in text order.
 
-    A DIMENSION sets length and width, whatever they hold; a typed MEASUREMENT fills its free slot; an untyped one is the length if nothing is set, the width if only the length is, and else left out. Without a unit nothing is stored.
+    A DIMENSION sets length and width, whatever they hold; a typed MEASUREMENT fills its free slot; an untyped one is the length if nothing is set, the width if only the length is, and else left out. A size without unit or bounds is never stored.
     """
-    empty = F.struct(*(F.lit(None).cast(_VALUE).alias(s) for s in _SLOTS))
+    empty = F.create_map().cast(f"map<string,{SIZE}>")
 
     def step(state: Column, e: Column) -> Column:
-        own = F.struct(e["text"].alias("text"), e["unit"].alias("unit"))
-        parts = dimension_parts(e["text"])
-        others = [state[s].isNull() for s in _SLOTS if s not in ("LENGTH", "WIDTH")]
-        rest = others[0] & others[1] & others[2]
-        nothing = state["LENGTH"].isNull() & state["WIDTH"].isNull() & rest
-        only = state["LENGTH"].isNotNull() & state["WIDTH"].isNull() & rest
-        values = []
-        for s in _SLOTS:
-            typed = F.when((e["kind"] == "MEASUREMENT") & e["unit"].isNotNull() & state[s].isNull() & (e["dim"] == s), own)
-            free = {"LENGTH": nothing, "WIDTH": only}.get(s)
-            if free is not None:
-                half = parts[0 if s == "LENGTH" else 1]
-                typed = F.coalesce(F.when((e["kind"] == "DIMENSION") & half["unit"].isNotNull(), half), typed, F.when((e["kind"] == "MEASUREMENT") & e["unit"].isNotNull() & e["dim"].isNull() & free, own))
-            values.append(F.coalesce(typed, state[s]).cast(_VALUE).alias(s))
-        return F.struct(*values)
-
-    return F.aggregate(F.array_sort(entities), empty, step)
+        free = F.when(F.size(state) == 0, "LENGTH").when((F.size(state) == 1) & F.map_contains_key(state, F.lit("LENGTH")), "WIDTH")
+        slot = F.when(e["dim"].isNull(), free).when(~F.map_contains_key(state, e["dim"]), e["dim"])
+        slots = F.when(e["kind"] == "DIMENSION", F.array(F.lit("LENGTH"), F.lit("WIDTH"))).otherwise(F.array(slot))
+        pairs = F.zip_with(slots, e["sizes"], lambda slot, size: F.struct(slot.alias("slot"), size.cast(SIZE).alias("size")))
+        held = lambda x: x["slot"].isNotNull() & x["size"]["unit"].isNotNull() & (x["size"]["least"].isNotNull() | x["size"]["most"].isNotNull())
+        return F.element_at(F.transform(F.array(F.filter(pairs, held)), lambda new: F.map_concat(F.map_filter(state, lambda k, _: ~F.exists(new, lambda x: x["slot"] == k)), F.map_from_entries(new))), 1)
+
+    return F.aggregate(entities, empty, step)
 
 
 def ploidy(t: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(t, r"2n ?=[ 0-9,]*[0-9]", 0)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(t, _PLOIDY, 0)), F.lit(""))
 
 
 def merosity(t: Column) -> Column:
-    return F.nullif(F.regexp_extract(t, r"\b[0-9]+(?:-[0-9]+)?-merous\b", 0), F.lit(""))
-
-
-def counts(t: Column, parts: list[str]) -> Column:
-    """array(struct(number, part)): a bare number and the part name right after it, with one word between at most."""
-    pattern = rf"({NUMBER})(?:\s+[a-z]+)?\s+({'|'.join(sorted(parts, key=len, reverse=True))})\b"
-    a, b = F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.regexp_extract_all(t, F.lit(pattern), F.lit(2))
-    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("number"), y.alias("part")))
+    return F.nullif(F.regexp_extract(t, _MEROUS, 0), F.lit(""))

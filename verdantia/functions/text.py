@@ -1,13 +1,12 @@
 """Text functions: Column in, Column out. All but the wide transliteration are built-in expressions.
 
-Deliberate differences from a mutate-while-matching rewriter: fractions are replaced where they stand (no offset drift).
+Deliberate difference from a mutate-while-matching rewriter: matches are replaced where they stand (no offset drift).
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -37,60 +36,119 @@ ABBREVIATIONS = {
     "diam": "diameter",
 }
 
-# One-to-one folds of Latin letters and signs; those of several letters apart.
-_FROM = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ×–—‘’“”³²¹µ"
-_TO = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNCx--''\"\"321u"
-_WIDE = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "±": "+-", "½": "1/2", "¼": "1/4", "¾": "3/4", "…": "..."}
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rewrite(t: Column, pattern: str, value) -> Column:
+    """Every match of the pattern replaced, where it stands, by ``value`` of it."""
+
+    def run(x: Column) -> Column:
+        rest, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(rest, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(t, run)
+
+
+# ---------------------------------------------------------------- to ASCII
+#: Signs that no rule below derives.
+_SIGNS = {
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "×": "x", "÷": "/", "±": "+-", "°": "deg", "µ": "u", "μ": "u",
+    "–": "-", "—": "-", "‐": "-", "‑": "-", "‒": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "′": "'", "″": '"', "•": "*", "≤": "<=", "≥": ">=", "≈": "~",
+}
+_GREEK = {"THETA": "th", "PHI": "ph", "CHI": "kh", "PSI": "ps"}
+
+
+def ascii_of(c: str) -> str | None:
+    """What a character is written as in ASCII: a letter without its marks, a Greek letter by its name, a fraction with a slash; None if unknown."""
+    if c in _SIGNS:
+        return _SIGNS[c]
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).replace("\u2044", "/")
+    name = unicodedata.name(plain[:1] or c, "").split()
+    if plain.isascii():
+        return plain
+    if name[:1] == ["LATIN"] and "LETTER" in name and len(letter := name[name.index("LETTER") + 1]) == 1:
+        return letter if "CAPITAL" in name else letter.lower()
+    if name[:1] == ["GREEK"] and "LETTER" in name and (letter := name[-1] if "FINAL" in name else name[name.index("LETTER") + 1]).isalpha():
+        own = _GREEK.get(letter, letter[0].lower())
+        return own.capitalize() if "CAPITAL" in name else own
+    return None
+
+
+def _table() -> dict[str, str]:
+    blocks = (range(0xA1, 0x250), range(0x391, 0x3CA), range(0x1E00, 0x1F00), range(0x2010, 0x2070), range(0x2070, 0x20A0), range(0x2150, 0x2160), map(ord, _SIGNS))
+    found = {chr(k): ascii_of(chr(k)) for block in blocks for k in block}
+    return {c: x for c, x in found.items() if x is not None and x != c}
+
+
+_ASCII = _table()
+_ONE = {c: x for c, x in _ASCII.items() if len(x) == 1}
+_SEVERAL = {c: x for c, x in _ASCII.items() if len(x) > 1}
+
+
+def transliterate(t: Column) -> Column:
+    """Latin and Greek letters, punctuation and signs as ASCII (a table by rule); other characters stay."""
+    several = F.create_map(*(F.lit(x) for kv in _SEVERAL.items() for x in kv))
+    folded = rewrite(F.translate(t, "".join(_ONE), "".join(_ONE.values())), "[" + "".join(_SEVERAL) + "]", lambda c: F.try_element_at(several, c))
+    return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
+
+
+def transliterate_wide(t: Column) -> Column:
+    """Any character, by the same rules in an Arrow function; what has no ASCII form stays."""
+
+    def fold(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array([None if x is None else "".join(y if y.isascii() or (z := ascii_of(y)) is None else z for y in x) for x in c.to_pylist()], pa.string())
+
+    return F.arrow_udf(fold, "string")(t)
+
+
+# ---------------------------------------------------------------- descriptions
 def collapse_space(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def hyphens(t: Column) -> Column:
+    """Two hyphens, and an en dash, are one hyphen."""
+    return F.translate(F.replace(t, F.lit("--"), F.lit("-")), "–", "-")
+
+
 def common_errors(t: Column) -> Column:
     """White space, dashes, commas that end sentences, and the unit cm read as em."""
-    t = F.translate(F.replace(collapse_space(t), F.lit("--"), F.lit("-")), "–", "-")
-    return F.regexp_replace(F.regexp_replace(t, r",(\s+[A-Z])", ".$1"), r"\bem\b", "cm")
+    ended = F.regexp_replace(hyphens(collapse_space(t)), r",(?=\s+[A-Z])", ".")
+    return F.regexp_replace(ended, r"(?<![\p{L}\p{N}_])em(?![\p{L}\p{N}_])", "cm")
 
 
 def expand_abbreviations(t: Column) -> Column:
-    for short, full in ABBREVIATIONS.items():
-        for a, b in ((short, full), (short.capitalize(), full.capitalize()), (short.upper(), full.capitalize())):
-            t = F.regexp_replace(t, rf"\b{a}(?:\.|\b)", b)
-    return F.regexp_replace(F.regexp_replace(t, r"\sca\s", " ca. "), r"\sc\s", " ca. ")
+    """Each abbreviation as a word of its own, in any case, with the full stop behind it; a first capital stays one. ``c`` and ``ca`` alone are ``ca.``."""
+    full = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
+
+    def word(found: Column) -> Column:
+        known = F.try_element_at(full, F.lower(F.rtrim(found, F.lit("."))))
+        return F.when(F.substring(found, 1, 1) == F.upper(F.substring(found, 1, 1)), F.initcap(known)).otherwise(known)
+
+    short = "|".join(sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))
+    return F.regexp_replace(rewrite(t, rf"(?i)\b(?:{short})\b\.?", word), r"(?<=\s)ca?(?=\s)", "ca.")
 
 
 def fractions(t: Column) -> Column:
     """Each a/b becomes its quotient with one decimal (half even on the decimal value; n/0 is 0.0)."""
-    pattern = r"[0-9]+/[0-9]+"
-    rest, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
     def value(x: Column) -> Column:
         a, b = F.split(x, "/")[0].cast("double"), F.split(x, "/")[1].cast("double")
         return F.coalesce(F.bround(a / F.nullif(b, F.lit(0.0)), 1), F.lit(0.0)).cast("string")
 
-    return F.array_join(F.zip_with(rest, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
+    return rewrite(t, "[0-9]+/[0-9]+", value)
 
-def split_conjoined(t: Column) -> Column:
-    """a1 -> a 1 (but m3), 1a -> 1 a (but 2n), and a blank after a comma or full stop that follows no digit."""
-    t = F.regexp_replace(t, r"(?!m3)([a-z])([(\d])", "$1 $2")
-    t = F.regexp_replace(t, r"(?!2n)([\d)])([a-z])", "$1 $2")
-    return F.regexp_replace(t, r"(?<=\D)([,.])(?=\S)", "$1 ")
 
-
-def transliterate(t: Column) -> Column:
-    t = F.translate(t, _FROM, _TO)
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _WIDE.items(), t)
+#: Where a blank is missing: between a letter and a digit or opening bracket (but in m3), between a digit or closing bracket
+#: and a letter (but in 2n), and behind a comma or full stop that follows no digit.
+_CONJOINED = r"(?<=[a-z])(?=[(0-9])(?!(?<=m)3)|(?<=[0-9)])(?=[a-z])(?!(?<=2)n)|(?<=[^0-9][,.])(?=\S)"
 
 
-def transliterate_wide(t: Column) -> Column:
-    """Any remaining accents, by Unicode decomposition in an Arrow function."""
-    def fold(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for c in columns:
-            yield pa.array([None if x is None else "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)) for x in c.to_pylist()], pa.string())
-
-    return F.arrow_udf(fold, "string")(transliterate(t))
+def split_conjoined(t: Column) -> Column:
+    return F.regexp_replace(t, _CONJOINED, " ")
 
 
 def normalise(t: Column) -> Column:
@@ -100,13 +158,15 @@ def normalise(t: Column) -> Column:
     return t
 
 
+def rejoined(t: Column) -> Column:
+    """Words divided at the end of a line are one again; blanks between a full stop and the line's end go."""
+    return F.regexp_replace(F.regexp_replace(t, r"(?<=\w)-\s+", ""), r"(?<=\.)[ \t]+(?=\n)", "")
+
+
 def normalise_page(t: Column) -> Column:
-    """The OCR page normaliser, in its fixed order."""
-    t = F.regexp_replace(t, r"(?i)(\s)[v|y]a[v|r][,|.]\s?", "$1var. ")
-    t = F.regexp_replace(t, r"(\w)-[\s\n]+", "$1")
-    t = F.regexp_replace(t, r"(\.)[ \t]+(\n)", "$1$2")
-    t = F.regexp_replace(t, r"(?<!\.|\n)[\n]+", " ")
-    return F.regexp_replace(t, r"(?:(?!\n)\s)+", " ")
+    """The OCR page normaliser: ``var.`` misread by one letter or with a comma, divided words, lines within a paragraph, runs of blanks."""
+    t = rejoined(F.regexp_replace(t, r"(?i)(?<=\s)[vy]a[vr][.,]\s?", "var. "))
+    return F.regexp_replace(F.regexp_replace(t, r"(?<![.\n])\n+", " "), r"[^\S\n]+", " ")
 
 
 def words(t: Column) -> Column:
@@ -139,7 +199,7 @@ def paragraphs(t: Column) -> Column:
 
 
 def is_figure(t: Column) -> Column:
-    return t.rlike(r"^[0-9]+[a-zA-Z][.| ]")
+    return t.rlike(r"^[0-9]+[a-zA-Z][.|\s]")
 
 
 def is_title(t: Column) -> Column:
@@ -154,6 +214,11 @@ def slug(t: Column) -> Column:
     return F.lower(F.replace(t, F.lit(" "), F.lit("-")))
 
 
+def is_well_formed(name: Column) -> Column:
+    """A taxon's name begins with a capital."""
+    return name.rlike(r"^\p{Lu}")
+
+
 def is_binomial(t: Column) -> Column:
     return (F.trim(t) != "") & (F.size(F.split(F.trim(t), r"\s+")) == 2)
 

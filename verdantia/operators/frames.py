@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 GROUPS = ("angiosperm", "bryophyte", "pteridophyte", "gymnosperm")
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only if the frame is proven small; else Spark picks a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 # ---------------------------------------------------------------- work lists
 def find_column(columns: list[str], pattern: str) -> str:
     """The one column whose name fits."""
@@ -55,19 +47,24 @@ def lemma(t: Column) -> Column:
     return F.when(t.rlike("ies$"), F.regexp_replace(t, "ies$", "y")).when(t.rlike("(ss|us|is)$"), t).when(t.rlike("(x|ch|sh|s)es$"), F.regexp_replace(t, "es$", "")).otherwise(F.regexp_replace(t, "s$", ""))
 
 
-def dictionary_join(entities: DataFrame, traits: DataFrame, group: str | None = None) -> DataFrame:
-    """Entities (id, text, part, is_part) with the dictionary rows whose term or character is their lower-cased text or lemma, and whose part fits.
+def trait_keys(traits: DataFrame) -> DataFrame:
+    """(key, term, character, trait, trait_part): a row for each distinct key of term and character, so that the four-way alternative of a match is an equi-join."""
+    rows = traits.select("term", "character", "trait", F.col("part").alias("trait_part"))
+    return rows.select("*", F.explode(F.array_distinct(F.array(F.lower("term"), F.lower("character")))).alias("key")).distinct()
 
-    The four-way alternative is an equi-join on distinct keys of both sides.
-    """
-    rows = traits if group is None else traits.filter(F.col("group") == group)
-    rows = rows.select("term", "character", "trait", F.col("part").alias("trait_part"))
-    keys = rows.select("*", F.explode(F.array_distinct(F.array("term", "character"))).alias("key")).distinct()
+
+def part_fits(part: Column, trait_part: Column) -> Column:
+    """A trait of the plant, or of no part, is one of the sentence's plant; else the parts are the same, or both unknown."""
+    plant = (part == "plant") & (trait_part.isNull() | (trait_part == "plant"))
+    return F.coalesce(plant | ((part != "plant") & (part == trait_part)) | (part.isNull() & trait_part.isNull()), F.lit(False))
+
+
+def dictionary_join(entities: DataFrame, traits: DataFrame, group: str | None = None) -> DataFrame:
+    """Entities (id, text, part, is_part) with the dictionary rows whose term or character is their lower-cased text or lemma, and whose part fits; an entity that is a part itself fits any."""
+    keys = trait_keys(traits if group is None else traits.filter(F.col("group") == group))
     own = entities.select("*", F.explode(F.array_distinct(F.array(F.lower("text"), lemma(F.col("text"))))).alias("key"))
-    found = own.join(small(keys), "key").drop("key")
-    plant = (F.col("part") == "plant") & (F.col("trait_part").isNull() | (F.col("trait_part") == "plant"))
-    fits = F.col("is_part") | plant | ((F.col("part") != "plant") & (F.col("part") == F.col("trait_part"))) | (F.col("part").isNull() & F.col("trait_part").isNull())
-    return found.filter(F.coalesce(fits, F.lit(False))).distinct()
+    found = own.join(keys, "key").drop("key")  # Spark broadcasts the dictionary if its size allows it
+    return found.filter(F.col("is_part") | part_fits(F.col("part"), F.col("trait_part"))).distinct()
 
 
 # ---------------------------------------------------------------- fields
@@ -87,15 +84,35 @@ def scope(entities: Column, foreign: Column) -> Column:
 
 
 # ---------------------------------------------------------------- aggregation, chosen by type and name
-MEASURED = r"^[0-9.]+ [a-z]+"
+MEASURED = r"^[0-9.]+\s[a-z]+"
 
 
 def terms(c: Column) -> Column:
-    """All comma-separated terms, distinct and sorted; with 2n values alone, those joined by bars; with others besides, without them."""
-    values = F.filter(F.collect_list(c), lambda x: F.trim(x) != "")
-    plain = F.filter(values, lambda x: ~x.startswith("2n"))
-    split = F.array_sort(F.array_distinct(F.flatten(F.transform(plain, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y))))))
-    return F.when((F.size(plain) == 0) & (F.size(values) > 0), F.array_join(F.array_sort(values), "| ")).otherwise(F.array_join(split, ", "))
+    """All comma-separated terms, distinct and sorted; with 2n values alone, those joined by bars; with others besides, without them.
+
+    A group keeps its distinct values, not its rows.
+    """
+
+    def joined(values: Column) -> Column:
+        plain = F.filter(values, lambda x: ~x.startswith("2n"))
+        split = F.array_sort(F.array_distinct(F.flatten(F.transform(plain, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y))))))
+        return F.when((F.size(plain) == 0) & (F.size(values) > 0), F.array_join(F.array_sort(values), "| ")).otherwise(F.array_join(split, ", "))
+
+    return T.let(F.collect_set(F.when(F.trim(c) != "", c)), joined)
+
+
+def without_halves(terms: Column) -> Column:
+    """Of an array of terms, those but ``a/b`` where ``a`` or ``b`` is there as well."""
+    return F.filter(terms, lambda t: ~t.contains("/") | ~F.arrays_overlap(F.split(t, "/"), terms))
+
+
+def measurement_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The text columns of which any value begins with a number, a blank and a unit; one pass for all of them."""
+    texts = [n for n, kind in df.dtypes if kind == "string" and n not in skip]
+    if not texts:
+        return ()
+    found = df.agg(*(F.bool_or(F.col(f"`{n}`").rlike(MEASURED)).alias(n) for n in texts)).head()
+    return tuple(n for n in texts if found[n])
 
 
 def num_range(c: Column) -> Column:
@@ -110,8 +127,13 @@ def measured(c: Column, name: str, order: Column) -> Column:
     return F.concat_ws(" ", F.round(one, 2).cast("decimal(18,2)").cast("string"), unit)
 
 
-def aggregate_by_type(df: DataFrame, key: str, order: str, measured_columns: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> DataFrame:
-    """One pass over the groups; numeric columns take min, max or range by their name, measured ones likewise, all others their terms."""
+def aggregate_by_type(df: DataFrame, key: str, order: str, measured_columns: tuple[str, ...] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """One pass over the groups; numeric columns take min, max or range by their name, measured ones likewise, all others their terms.
+
+    ``measured_columns``: text columns of numbers with a unit; if not given, they are found by their values.
+    """
+    if measured_columns is None:
+        measured_columns = measurement_columns(df, (key, order, *skip))
     out = []
     for name, kind in df.dtypes:
         if name in (key, order, *skip):
@@ -161,43 +183,43 @@ def pages_of(names: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(names, index.name_confirmed == names.name, "left_semi")
 
 
-# ---------------------------------------------------------------- pages
-def description_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs that describe the taxon: the page's running state as window functions.
+def taxa_of_groups(work: DataFrame) -> DataFrame:
+    """(taxonomic_group, taxa, n): the distinct names of each group."""
+    return work.groupBy("taxonomic_group").agg(F.array_sort(F.collect_set("taxon")).alias("taxa"), F.count_distinct("taxon").alias("n"))
 
-    paragraphs: page_id, idx, text, figure, title, n_taxa, n_match. A title turns the state off; a paragraph with taxon names
-    turns it on if all of them match, else off; once as many matches are seen as the page has, and it is off, the page is over.
-    """
-    order = Window.partitionBy("page_id").orderBy("idx")
-    event = F.when(F.col("figure"), None).when(F.col("title"), F.lit(False)).when(F.col("n_taxa") > 0, (F.col("n_match") > 0) & (F.col("n_match") == F.col("n_taxa")))
-    counted = F.when(~F.col("figure") & ~F.col("title"), F.col("n_match")).otherwise(0)
-    df = paragraphs.withColumn("total", F.sum("n_match").over(Window.partitionBy("page_id"))).filter("total > 0")
-    df = df.withColumn("event", event).withColumn("flag", F.coalesce(F.last("event", ignorenulls=True).over(order), F.lit(False))).withColumn("seen", F.sum(counted).over(order))
-    stop = ~F.col("figure") & ~F.col("title") & (F.col("n_taxa") > 0) & ~F.col("flag") & (F.col("seen") >= F.col("total"))
-    df = df.withColumn("stopped", F.max(stop.cast("int")).over(order))
-    return df.filter("flag and not figure and not title and stopped = 0").select("page_id", "idx", "text")
 
+def first_columns(df: DataFrame, first: list[str]) -> DataFrame:
+    """``first`` in front, each column once."""
+    return df.select(*(f"`{c}`" for c in dict.fromkeys([*first, *df.columns])))
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Fields of nested structs as columns with dotted names."""
+
+    def leaves(kind, path: list[str]):
+        for f in kind.fields:
+            if hasattr(f.dataType, "fields"):
+                yield from leaves(f.dataType, [*path, f.name])
+            else:
+                yield F.col(".".join(f"`{p}`" for p in [*path, f.name])).alias(".".join([*path, f.name]))
 
-def join_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    rows = paragraphs.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("p"))
-    return rows.select("page_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    return df.select(*leaves(df.schema, []))
 
 
-def sentence_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return df.select(key, F.posexplode(T.sentences(F.col(text))).alias("idx", "sentence"))
+def enabled(sources: dict[str, DataFrame], wanted: list[str]) -> DataFrame:
+    """The union of the sources that the settings name, in any case, each with a ``source`` column."""
+    known = {k.lower(): v for k, v in sources.items()}
+    missing = [w for w in wanted if w.lower() not in known]
+    if missing:
+        raise ValueError(f"no such source: {', '.join(missing)}")
+    return combine([known[w.lower()].withColumn("source", F.lit(w.lower())) for w in wanted])
 
 
-# ---------------------------------------------------------------- training splits
-def stratified(df: DataFrame, label: str, key: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """A ``split`` column with exact shares of each label, in order of a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.pmod((F.col(key) + seed) * 2654435761, F.lit(4294967296)), key)
-    place = F.row_number().over(order) / F.count("*").over(Window.partitionBy(label))
-    out, at = F.lit(None).cast("string"), 0.0
-    for name, share in reversed(list(zip(shares, [sum(list(shares.values())[: k + 1]) for k in range(len(shares))], strict=True))):
-        out = F.when(place <= share + 1e-12, F.lit(name)).otherwise(out)
-    return df.withColumn("split", out)
+def containing(df: DataFrame, column: str, words: list[str]) -> DataFrame:
+    """Rows whose text holds one of the words, in any case."""
+    return df.filter(F.col(column).rlike("(?i)" + "|".join(re.escape(w) for w in words)))
 
 
-def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
-    """(truth, guess, n)"""
-    return df.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
+def last_value(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, value, n): of each key the value that came last, and how many there were."""
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value), F.count("*").alias("n"))

@@ -6,40 +6,17 @@ each have to read it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import frames as O
+from ..operators import training as R
 from ..sources import html as H
-from . import traits as P
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_S = "CAST(p_size AS {s})"
-
-
-def described(spark: SparkSession, sf_dir: str, expression: str, *keep: str) -> DataFrame:
-    """p_partkey, p_brand, p_size and ``text``, by an expression that both dialects have."""
-    return read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", *keep, F.expr(expression).alias("text"))
+from . import documents, pages, training  # noqa: F401  (they register their queries)
+from .base import ORACLE, QUERIES, described, query, read
 
+__all__ = ["ORACLE", "QUERIES"]
 
 RANGE = "concat('Stems (', p_size, '-)', p_size + 2, '-', p_size + 6, '(-', p_size + 9, ') cm tall.')"
 
@@ -66,23 +43,8 @@ def dimension_split(spark, sf_dir):
     return df.select("p_partkey", value(0).alias("length_cm"), value(1).alias("width_cm"))
 
 
-@query("""SELECT p_partkey, NULL::VARCHAR AS length_text, concat(p_size, ' cm wide') AS width_text FROM part""")
-def dimension_fold(spark, sf_dir):
-    df = described(spark, sf_dir, "concat('Spike ', p_size, ' cm wide and ', p_size + 5, ' cm.')").select("p_partkey", N.fold_dimensions(N.measurements(F.col("text"))).alias("f"))
-    return df.select("p_partkey", F.col("f.LENGTH.text").alias("length_text"), F.col("f.WIDTH.text").alias("width_text"))
-
-
-@query("""SELECT p_partkey, concat(p_size, ' cm long') AS kept, 1 AS n FROM part""")
-def measurement_scope(spark, sf_dir):
-    df = described(spark, sf_dir, "concat('Petals ', p_size, ' cm long with lamina ', p_size + 1, ' cm.')")
-    found = O.scope(N.measurements(F.col("text")), F.array(F.lit(1)))
-    return df.select("p_partkey", found.alias("m")).select("p_partkey", F.col("m")[0]["text"].alias("kept"), F.size("m").alias("n"))
 
 
-@query("""SELECT p_partkey, concat('2n = ', 2 * p_size, ', ', 4 * p_size) AS ploidy FROM part""")
-def ploidy_extract(spark, sf_dir):
-    return described(spark, sf_dir, "concat('Annual. 2n = ', 2 * p_size, ', ', 4 * p_size, '.')").select("p_partkey", N.ploidy(F.col("text")).alias("ploidy"))
-
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE (p_partkey % 3)::DOUBLE END AS min_v, p_size::DOUBLE AS max_v FROM part""")
 def zero_is_no_minimum(spark, sf_dir):
@@ -90,20 +52,7 @@ def zero_is_no_minimum(spark, sf_dir):
     return df.select("p_partkey", F.coalesce("b.min", F.col("p_size").cast("double")).alias("min_v"), F.col("b.max").alias("max_v"))
 
 
-@query("""SELECT p_partkey, (p_partkey % 7 + 1)::VARCHAR AS number, 'stamens' AS part FROM part""")
-def part_counts(spark, sf_dir):
-    df = described(spark, sf_dir, "concat(p_partkey % 7 + 1, ' stamens.')").select("p_partkey", F.explode(N.counts(F.col("text"), ["stamens", "petals"])).alias("c"))
-    return df.select("p_partkey", "c.number", "c.part")
-
 
-@query("""SELECT doc_id, replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '--', '-'), '–', '-') AS text FROM documents""")
-def normalise_whitespace(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.translate(F.replace(T.collapse_space(F.col("text")), F.lit("--"), F.lit("-")), "–", "-").alias("text"))
-
-
-@query("""SELECT doc_id, regexp_replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '--', '-'), '–', '-'), ',(\\s+[A-Z])', '.\\1', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '\\bem\\b')""")
-def comma_to_period(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\bem\b")).select("doc_id", T.common_errors(F.col("text")).alias("text"))
 
 
 @query("""SELECT p_partkey, concat('Leaves ', p_size, ' cm, inflorescence ', p_size + 1, ' cm diameter') AS text FROM part""")
@@ -121,22 +70,8 @@ def conjoined_split(spark, sf_dir):
     return described(spark, sf_dir, "concat('leaf', p_size, 'cm,root(', p_size, ')')").select("p_partkey", T.split_conjoined(F.col("text")).alias("text"))
 
 
-@query("""SELECT doc_id, translate(text, 'éèêçàùïöäüñóíá', 'eeecauioaunoia') AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7Féèêçàùïöäüñóíá]')""")
-def translit(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7Féèêçàùïöäüñóíá]"))
-    return df.select("doc_id", T.transliterate(F.col("text")).alias("text"))
-
-
-@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '([a-zA-Z0-9_])-[\\s\\n]+', '\\1', 'g'), '\\.[ \\t]+\\n', E'.\\n', 'g') AS text FROM documents""")
-def page_hyphenation(spark, sf_dir):
-    t = F.regexp_replace(F.regexp_replace("text", r"(\w)-[\s\n]+", "$1"), r"(\.)[ \t]+(\n)", "$1$2")
-    return read(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
-@query()
-def ocr_normalise(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalise_page(F.col("text")).alias("text"))
-
 
 VOCABULARY = ["the", "and", "that", "this", "with", "for", "was", "are", "of", "to", "in"]
 _VOC = ", ".join(f"'{w}'" for w in VOCABULARY)
@@ -150,13 +85,8 @@ def vocab_classifier(spark, sf_dir):
 @query(f"""SELECT quality::BIGINT AS truth, (length(text) >= 100 AND len(list_intersect(list_distinct(regexp_extract_all(lower(text), '\\S+')), [{_VOC}])) >= 5)::BIGINT AS guess, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
 def vocab_vs_labels(spark, sf_dir):
     df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return O.confusion(df.select(F.col("quality").cast("long").alias("q"), T.mentions(F.col("text"), VOCABULARY).cast("long").alias("g")), "q", "g")
-
+    return R.confusion(df.select(F.col("quality").cast("long").alias("q"), T.mentions(F.col("text"), VOCABULARY).cast("long").alias("g")), "q", "g")
 
-@query("""SELECT p_partkey, 3 AS n, concat(' ', p_size, ' ovaries.')[2:] AS last FROM part""")
-def sentence_split(spark, sf_dir):
-    s = T.sentences(F.concat(F.lit("Herb; stem branched. Leaves ca. 5 cm branched. "), F.col("p_size"), F.lit(" ovaries.")))
-    return read(spark, sf_dir, "part").select("p_partkey", (F.size(s) - 1).alias("n"), F.element_at(s, -1).alias("last"))
 
 
 @query("""SELECT doc_id, i::INT AS idx, length(p) > 1 AND len(regexp_extract_all(p, '[a-z]+')) <= 1 AS title, regexp_matches(p, '^[0-9]+[a-zA-Z][.| ]') AS figure
@@ -166,32 +96,6 @@ def title_figure_paragraphs(spark, sf_dir):
     return df.select("doc_id", "idx", T.is_title(F.col("p")).alias("title"), T.is_figure(F.col("p")).alias("figure"))
 
 
-def _paragraphs(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
-    n = lambda w: F.regexp_count("text", F.lit(rf"\b{w}\b"))
-    return df.select("page_id", "idx", "text", T.is_figure(F.col("text")).alias("figure"), T.is_title(F.col("text")).alias("title"), (n("The") + n("And")).alias("n_taxa"), n("The").alias("n_match"))
-
-
-_STATE = """WITH p AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
-a AS (SELECT *, regexp_matches(text, '^[0-9]+[a-zA-Z][.| ]') AS figure, length(text) > 1 AND len(regexp_extract_all(text, '[a-z]+')) <= 1 AS title,
-  len(regexp_extract_all(text, '\\bThe\\b')) AS n_match, len(regexp_extract_all(text, '\\bAnd\\b')) + len(regexp_extract_all(text, '\\bThe\\b')) AS n_taxa FROM p),
-b AS (SELECT *, sum(n_match) OVER (PARTITION BY page_id) AS total, CASE WHEN figure THEN NULL WHEN title THEN false WHEN n_taxa > 0 THEN n_match > 0 AND n_match = n_taxa END AS event FROM a),
-c AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER w, false) AS flag, sum(CASE WHEN NOT figure AND NOT title THEN n_match ELSE 0 END) OVER w AS seen FROM b WHERE total > 0 WINDOW w AS (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT *, max((NOT figure AND NOT title AND n_taxa > 0 AND NOT flag AND seen >= total)::INT) OVER (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS stopped FROM c),
-e AS (SELECT page_id, idx::INT AS idx, text FROM d WHERE flag AND NOT figure AND NOT title AND stopped = 0)
-"""
-
-
-@query(_STATE + "SELECT * FROM e")
-def paragraph_state(spark, sf_dir):
-    return O.description_paragraphs(_paragraphs(spark, sf_dir))
-
-
-@query(_STATE + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM e GROUP BY page_id")
-def paragraph_concat(spark, sf_dir):
-    return O.join_paragraphs(O.description_paragraphs(_paragraphs(spark, sf_dir)))
-
-
 _TRAITS = [("red", "red", "flower red", "petal"), ("white", "white", "flower white", None), ("leaf", "leaves", "leafy", "plant"), ("small", "brass", "fruit small", "fruit"), ("brass", "copper", "metallic", None)]
 
 
@@ -205,10 +109,6 @@ def dictionary_join(spark, sf_dir):
     return O.dictionary_join(e, spark.createDataFrame(_TRAITS, "term string, character string, trait string, part string"))
 
 
-@query("""SELECT * FROM (VALUES ('leaf', 'leaf'), ('lamina', 'leaf'), ('fruit', 'fruit'), ('drupe', 'fruit'), ('stem', 'stem'), ('stems', 'stem')) AS v(term, part)""")
-def part_canonical(spark, sf_dir):
-    return O.part_terms(spark.createDataFrame([("leaf", ["lamina"]), ("fruit", ["drupe"]), ("drupe", None), ("stem", None)], "part string, synonyms array<string>").filter("part <> 'drupe'"))
-
 
 @query("""SELECT n_name AS taxon, o AS synonym FROM (SELECT a.n_name, b.n_name AS o FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name <> b.n_name)""")
 def synonym_closure(spark, sf_dir):
@@ -250,10 +150,6 @@ def concat_terms(spark, sf_dir):
     return df.groupBy("p_size").agg(O.terms(F.col("t")).alias("terms"))
 
 
-@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
-def last_wins(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN p_brand ELSE (p_size % 7)::VARCHAR END AS "first [mm]", p_type, NULL::VARCHAR AS missing FROM part""")
 def coalesce_template(spark, sf_dir):
@@ -278,11 +174,6 @@ def dropna_all(spark, sf_dir):
     return O.drop_empty(df, ["p_partkey"])
 
 
-@query("""SELECT doc_id, quality, CASE WHEN r <= 0.7 + 1e-12 THEN 'train' WHEN r <= 0.85 + 1e-12 THEN 'dev' ELSE 'test' END AS split FROM (
-  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) / count(*) OVER (PARTITION BY quality) AS r FROM labels)""")
-def stratified_split(spark, sf_dir):
-    return O.stratified(read(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", {"train": 0.7, "dev": 0.15, "test": 0.15})
-
 
 @query("""SELECT doc_id, len(regexp_split_to_array(trim(split_part(text, '.', 1)), '\\s+')) = 2 AND trim(split_part(text, '.', 1)) <> '' AS binomial FROM documents""")
 def binomial_filter(spark, sf_dir):
@@ -294,10 +185,6 @@ def capitalise(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.capitalise(F.col("p_name")).alias("name"))
 
 
-@query("""SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, sha256(p_name) AS hash FROM part""")
-def slug_hash(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), F.sha2("p_name", 256).alias("hash"))
-
 
 @query("""SELECT p_partkey, round(p_size * f::DOUBLE, 12) AS metres FROM (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1.0 ELSE 0.3048 END AS f FROM part)""")
 def unit_conversion(spark, sf_dir):
@@ -309,31 +196,3 @@ def unit_conversion(spark, sf_dir):
 def html_links(spark, sf_dir):
     links = H.links(read(spark, sf_dir, "pages"), "page_id", "html")
     return links.select("page_id", F.size("links").cast("long").alias("n_links"))
-
-
-@query()
-def html_paragraphs(spark, sf_dir):
-    return H.paragraphs(read(spark, sf_dir, "pages"), "page_id", "html", "article")
-
-
-@query()
-def description_traits(spark, sf_dir):
-    """End to end: normalise, split, fold measurements, convert, aggregate."""
-    text = "concat('Herb. Lvs ', p_size, '-', p_size + 5, ' mm long; petals ', p_size, ' x ', p_size + 3, ' cm.')"
-    rows = O.sentence_rows(described(spark, sf_dir, text).select("p_brand", T.normalise(F.col("text")).alias("text")), "p_brand")
-    folded = rows.select("p_brand", "idx", N.fold_dimensions(N.measurements(F.col("sentence"))).alias("f")).filter("f.LENGTH is not null")
-    value = N.convert(N.least_most(N.number_range(F.regexp_replace("f.LENGTH.text", "[a-zA-Z]", "")))["min"], F.col("f.LENGTH.unit"))
-    return folded.groupBy("p_brand", "idx").agg(F.round(F.min(value), 4).alias("min_length_cm"), F.count("*").alias("n"))
-
-
-@query(
-    """SELECT p_brand, min(p_size)::DOUBLE AS leaf_min_mm, max(p_size + 5)::DOUBLE AS leaf_max_mm, max(p_size + 3)::DOUBLE AS petal_width_cm
-       FROM part GROUP BY p_brand"""
-)
-def traits_by_template(spark, sf_dir):
-    """Observations of every sentence, then one row a taxon by a template with units."""
-    text = "concat('Erect herb. Leaves ', p_size, '-', p_size + 5, ' mm long; petals ', p_size, ' x ', p_size + 3, ' cm.')"
-    rows = described(spark, sf_dir, text).select(F.col("p_brand").alias("taxon"), F.lit("part").alias("source"), "text")
-    template = {"leaf [mm] least": "leaf.length.min", "leaf [mm] most": "leaf.length.max", "petal [cm]": "petal.width.max"}
-    out = P.by_template(P.observations(rows, {"leaves": "leaf", "petals": "petal"}), template)
-    return out.toDF("p_brand", "leaf_min_mm", "leaf_max_mm", "petal_width_cm").select("p_brand", *(F.col(c).cast("double") for c in ("leaf_min_mm", "leaf_max_mm", "petal_width_cm")))

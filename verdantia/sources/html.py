@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -77,16 +79,24 @@ def _typed(pages, key, page, run, kind, name):
     return pages.select(key, F.arrow_udf(typed, kind)(F.col(page)).alias(name))
 
 
-def paragraphs(pages: DataFrame, key: str, page: str, within: str | None = None, mark: str | None = None, joiner: str = "\n") -> DataFrame:
-    """(key, text): the paragraphs with a lower-case letter and no table inside ``within`` (an element, with a class or id), joined; null without any."""
+def paragraphs_of(page: Column, within: str | None = None, mark: str | None = None, joiner: str = "\n", kept=None) -> Column:
+    """The paragraphs with a lower-case letter and no table inside ``within`` (an element, with a class or id), and which ``kept`` (a function of their column) takes, joined; null without any."""
 
-    def run(columns):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in columns:
-            kept = [[p["text"].strip() for p in _read(x, within, mark).paragraphs if not p["table"]] for x in c.to_pylist()]
-            yield pa.array(kept, pa.list_(pa.string()))
+            found = [[p["text"].strip() for p in _read(x, within, mark).paragraphs if not p["table"]] for x in c.to_pylist()]
+            yield pa.array(found, pa.list_(pa.string()))
+
+    def joined(found: Column) -> Column:
+        good = F.filter(found, lambda x: x.rlike("[a-z]") & (F.lit(True) if kept is None else kept(x)))
+        return let(good, lambda p: F.when(F.size(p) > 0, F.array_join(p, joiner)))
 
-    found = _typed(pages, key, page, run, "array<string>", "p").select(key, F.filter("p", lambda x: x.rlike("[a-z]")).alias("p"))
-    return found.select(key, F.when(F.size("p") > 0, F.array_join("p", joiner)).alias("text"))
+    return let(F.arrow_udf(run, "array<string>")(page), joined)
+
+
+def paragraphs(pages: DataFrame, key: str, page: str, within: str | None = None, mark: str | None = None, joiner: str = "\n") -> DataFrame:
+    """(key, text) by ``paragraphs_of``."""
+    return pages.select(key, paragraphs_of(F.col(page), within, mark, joiner).alias("text"))
 
 
 def index_by_link(linked: DataFrame, href_like: str, parameter: str, title: str | None = None) -> DataFrame:
