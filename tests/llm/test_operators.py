@@ -75,10 +75,10 @@ def test_jaccard_against_brute_force(spark, docs):
     assert [got[k].n_shingles for k in range(len(TEXTS))] == [len(s or ()) for s in sets]
 
 
-@pytest.mark.parametrize("hot", [0, 20_000])
-def test_repeats_against_brute_force(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got, data = by_id(suffix_dedup.remove_repeats(docs)), [(t or "").encode() for t in TEXTS]
+@pytest.mark.parametrize("group", [1, 1000])
+def test_repeats_against_brute_force(spark, docs, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 900)  # long texts are cut in pieces
+    got, data = by_id(suffix_dedup.remove_repeats(docs, group=group)), [(t or "").encode() for t in TEXTS]
     seen: dict = {}
     for d in data:
         for k in range(len(d) - 199):

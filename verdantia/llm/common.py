@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,25 +20,81 @@ SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of an Arrow batch that a Python worker gets at once, unless the session asks for less.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of ``ARROW_BYTES`` at most (or one row), so that long texts do not add up in a worker."""
+    held = spark.conf.get(_ARROW, None)
+    if held is None or int(held.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one machine (tests) gets a temporary one; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="verdantia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_LEFT: dict[str, SparkSession] = {}  # folders written by stored() and not yet removed
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and rereads it, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    """Cuts lineage: writes ``df`` to the shared folder and rereads it, so that a lost executor costs no recomputation.
+
+    Spark removes the shuffle files of the plan once it has run. ``dropped`` removes the folder; what still stands when the
+    driver ends, as a result may read it until then, is removed at that point.
+    """
+    spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the plan just run
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if not _LEFT:
+        atexit.register(_drop_left)
+    _LEFT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    give_back()  # the driver's own memory
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes the folders of frames from ``stored`` that nothing reads any more."""
+    for df in frames:
+        _remove(df.stored_at)
+
+
+def _remove(path: str) -> None:
+    spark = _LEFT.pop(path, None)
+    if spark is not None:  # Spark has no public call that deletes a folder
+        jvm = spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _drop_left() -> None:
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
