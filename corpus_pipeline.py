@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(docs, out="__repeats")
-    text = F.when(F.col("text").isNull(), None).when(F.col("__repeats.n_removed") == 0, F.col("text")).otherwise(suffix_dedup.kept_text("__repeats"))
+    cut = suffix_dedup.remove_repeats(docs, out="__repeats", words=True)
+    text = F.when(F.col("text").isNull(), None).when(F.col("__repeats.n_removed") == 0, F.col("text")).otherwise(F.col("__repeats.kept"))
     cut = cut.withColumn("text", text).drop("__repeats")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
