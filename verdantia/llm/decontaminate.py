@@ -10,8 +10,8 @@ words; containment of the whole window needs every shingle, so its rarest one is
 
 The items are a stated query set: they are taken in blocks of at most ``BLOCK_BYTES`` of text, each sent to the tasks.
 
-Defined cases: null texts have no words; items without words, or with null item_id, have no effect; items with equal
-item_id count once; repeated documents are judged alike; empty tables give an empty result or no hits; a column that has
+Defined cases: null texts have no words; items without words have no effect; the words of items with null item_id are hit, but
+such items are not listed; items with equal item_id count once; repeated documents are judged alike; empty tables give an empty result or no hits; a column that has
 the output's name is replaced, all others stay.
 """
 
@@ -45,16 +45,18 @@ def _shingles(cut: Cut, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.
 class Windows:
     """The windows of one block of items, indexed by their rarest shingle."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         cut = words(pa.array([x for _, x in items], pa.string()), ALNUM)
         hashes = cut.hashes()
-        self.item_ids = sorted({k for k, _ in items})
+        self.item_ids = sorted({k for k, _ in items if k is not None})
         number = {k: n for n, k in enumerate(self.item_ids)}
         seen: dict[tuple[int, ...], set[int]] = {}
         for k, (item, _) in enumerate(items):
             own = hashes[cut.first[k] : cut.first[k + 1]].tolist()
             for at in range(max(1, len(own) - WIDTH + 1) if own else 0):
-                seen.setdefault(tuple(own[at : at + WIDTH]), set()).add(number[item])
+                of = seen.setdefault(tuple(own[at : at + WIDTH]), set())
+                if item is not None:
+                    of.add(number[item])
         self.windows = [np.array(w, np.uint64) for w in seen]
         self.items = list(seen.values())
         self.length = np.array([len(w) for w in self.windows], np.int64)
@@ -147,12 +149,12 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct: n_words, runs (words hit, as [start, stop)), items (ids as strings, sorted, of those with occurring windows)."""
     spark = docs.sparkSession
-    items = benchmark.select(column(item_id).cast("string").alias("k"), column(item_text).cast("string").alias("x")).filter("k is not null and x is not null")
+    items = benchmark.select(column(item_id).cast("string").alias("k"), column(item_text).cast("string").alias("x")).filter("x is not null")
     total = items.agg(F.sum(F.octet_length("x")).alias("n")).head().n or 0
     blocks = max(1, -(-total // block_bytes))
     names = [c for c in docs.columns if c != out]
     for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("k", "x"), F.lit(blocks)) == block) if blocks > 1 else items
+        part = items.filter(F.pmod(F.xxhash64("x"), F.lit(blocks)) == block) if blocks > 1 else items
         index = Windows([(r.k, r.x) for r in part.distinct().collect()])  # about block_bytes
         index.index(_rarity(docs, text, index.vocabulary()))
         docs = docs.select(*map(column, names), _judge(spark, index)(column(text).cast("string"), column(out) if block else F.lit(None).cast(_KIND)).alias(out))
