@@ -7,8 +7,8 @@ each), n id counts (uint32), n payload bytes (uint32), all checkpoints (uint32,
 ids of a document, in document order), then the payload: each document's codes from a byte boundary, most significant
 bit first. The code lengths of all ids (one byte each) are the table's only shared state: canonical codes follow.
 
-Defined cases: null and empty texts hold the end id alone; rows with equal doc_id all stay (in the order of their ids'
-hash, then as they come); null doc_ids come first; an empty table gives an empty one.
+Defined cases: null and empty texts hold the end id alone; rows with equal doc_id all stay, in the order of their
+codes (rows with equal codes are equal); null doc_ids come first; doc_ids must be whole numbers; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def _lookup(lengths: bytes) -> np.ndarray:
     return decoding_table(np.frombuffer(lengths, np.uint8))
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text: str = "text", vocab: int = 49_408, docs_a_bucket: int = 8192, most_buckets: int = 10_000) -> np.ndarray:
+def write_tokens(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text: str = "text", vocab: int = 49_408, docs_a_bucket: int = 8192, most_buckets: int = 100_000) -> np.ndarray:
     """Encodes every whole text and writes the blocks to ``out`` in ascending order of the document ids; returns the code lengths.
 
     Texts are tokenised once: the ids go to the shared folder as 16-bit numbers, their counts give the codes, and what
@@ -280,7 +280,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id"
 
     rows = ids.mapInArrow(encode, "bucket int, doc_id long, n long, marks binary, payload binary")
     n = max(1, min(buckets, shuffle_partitions(spark)))
-    placed = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
+    placed = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("payload"), "payload")
     placed.mapInArrow(assemble, "bucket int, block int, rel_start long, blob binary, n_ids long").write.option("compression", "uncompressed").parquet(out)
     return lengths
 
