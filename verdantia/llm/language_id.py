@@ -5,8 +5,9 @@ up, not multiplied), are max-pooled over the window, pass a rectifier and a soft
 ``WINDOW`` bytes that overlap by the widest filter less one, so that every run of bytes is seen; its language is the one
 of the highest mean log-probability over all its windows.
 
-Training takes windows spread over whole texts of a sample of labelled rows: at most about ``SAMPLE`` rows in all, as many
-of each language, chosen by hash. That bound is fixed; the classifier does not grow with the corpus.
+Training takes all windows of a sample of labelled rows: at most about ``SAMPLE`` rows in all, as many of each language, chosen
+by hash. That bound is fixed; the classifier does not grow with the corpus. Rows of more than ``LONGEST`` bytes are not chosen,
+so that the bound on rows bounds the windows as well.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every text is ``und``;
 null ids count as the empty text in the split; repeated rows are judged alike; an empty table gives an empty one; a column
@@ -29,7 +30,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE = 6000
-WINDOWS_A_TEXT = 4
+LONGEST = 1 << 14
 STEPS = 700
 BATCH = 128
 RATE = 0.004
@@ -112,30 +113,27 @@ class Network:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
     """A network for the non-null values of ``lang``; None without any."""
-    rows = labelled.select(column(text).cast("string").alias("x"), column(lang).cast("string").alias("y")).filter("x is not null and y is not null")
+    rows = labelled.select(column(text).cast("string").alias("x"), column(lang).cast("string").alias("y")).filter(f"y is not null and octet_length(x) <= {LONGEST}")
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
     each, steps = max(1, sample // len(counts)), 1 << 30
     share = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(steps, each * steps // n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("x", F.lit(11)), F.lit(steps)) < F.element_at(share, F.col("y")))
+    chosen = rows.filter(F.pmod(F.xxhash64("x", F.lit(11)), F.lit(steps)) < F.element_at(share, F.col("y"))).distinct()  # copies of one text are chosen together
 
     def cut(batches):
         for batch in by_bytes(batches, 0):
             x, owner = windows(*raw(batch.column(0)))
-            n = np.bincount(owner, minlength=batch.num_rows)
-            start = np.cumsum(n) - n
-            at = np.unique(np.concatenate([start + (n - 1) * k // max(1, WINDOWS_A_TEXT - 1) for k in range(WINDOWS_A_TEXT)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[at]], pa.binary()), batch.column(1).take(pa.array(owner[at]))], names=["w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).take(pa.array(owner))], names=["w", "y"])
 
-    got = chosen.mapInArrow(cut, "w binary, y string").orderBy("y", "w").toArrow()  # about sample * WINDOWS_A_TEXT windows
+    got = chosen.mapInArrow(cut, "w binary, y string").orderBy("y", "w").toArrow()  # at most sample * LONGEST bytes, and in fact the mean length
     labels = sorted(counts)
     network = Network(labels)
     y = np.array([labels.index(v) for v in got.column("y").to_pylist()], np.int64)
     x = np.frombuffer(b"".join(got.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
     if len(x):
         even = np.random.default_rng(1)
-        pick = np.concatenate([even.choice(np.flatnonzero(y == k), len(x) // len(labels)) for k in np.unique(y)])
+        pick = np.concatenate([even.choice(np.flatnonzero(y == k), max(1, len(x) // len(labels))) for k in np.unique(y)])
         network.train(x[pick], y[pick])
     return network
 
