@@ -140,7 +140,7 @@ class Trainer:
 class Vocabulary:
     index: HashIndex  # frequent words -> row
     counts: np.ndarray  # of the rows
-    classes: np.ndarray  # of the rows
+    classes: np.ndarray  # of the rows, and one more, where row -1 points
     group: np.ndarray  # of two bytes: class
     log_mass: np.ndarray  # of a class: log10 of what its words' smoothed counts sum to; 0 for tokens of their own class
     own: int  # classes from here on are groups; the one before is the end
@@ -199,7 +199,7 @@ def vocabulary(counts: DataFrame, texts: int, most: int = HEAD) -> tuple[Vocabul
     index = HashIndex()
     if len(pieces):
         index.add(cut.hashes(), np.arange(len(pieces), dtype=np.int32))
-    held = Vocabulary(index, n, np.concatenate([np.arange(own), group[two[own:]]]), group, mass, own + 1)
+    held = Vocabulary(index, n, np.concatenate([np.arange(own), group[two[own:]], [own]]), group, mass, own + 1)
     shares = (total + 1) / (total + 1).sum()
     everything = sum(k for k, _ in groups.values()) + texts
     return held, shares, everything, sum(v for _, v in groups.values()) + (texts > 0), int(n.min()) if len(n) else 1
