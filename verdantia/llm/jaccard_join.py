@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, mix64, ragged, shingle_hashes, shuffle_partitions, stored, table
+from .common import column, dropped, mix64, ragged, shingle_hashes, shuffle_partitions, stored, table
 from .scan import HashIndex, by_bytes, words
 
 SAMPLE = 16  # one text in so many gives the rarity order
@@ -356,39 +356,53 @@ def linked(docs: DataFrame, marks: DataFrame, width: int, num: int, den: int) ->
     return links.unionByName(open_pairs.filter("linked").select("a", "b")).unionByName(enough(_overlaps(rest, docs, width)).select("a", "b"))
 
 
+def _row(doc_id: str, text: str) -> F.Column:
+    """What a row is known by: equal for rows with equal id and text only."""
+    return F.xxhash64(column(doc_id), column(text).cast("string"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    rows = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
+    """(doc_id, n_shingles, component_id, row, comp) of every row; row: a hash of id and text, comp: names the component (null for the empty set)."""
+    rows = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"), _row(doc_id, text).alias("row"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def classes(batches):
         for batch in by_bytes(batches, 1):
             shingles, edges, cls = sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(cls), parities(shingles, edges)], names=["doc_id", "n", "cls", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(edges)), pa.array(cls), parities(shingles, edges)], names=["doc_id", "row", "n", "cls", "bits"])
 
-    known = stored(rows.mapInArrow(classes, f"doc_id {kind}, n long, cls long, bits array<bigint>"), "classes")
+    whole = stored(rows.mapInArrow(classes, f"doc_id {kind}, row long, n long, cls long, bits array<bigint>"), "classes")
+    known = whole
     marks = stored(known.filter("n > 0").dropDuplicates(["cls"]).select("cls", "n", "bits"), "marks")
     known = known.drop("bits")
     full = known.filter("n > 0")
-    named = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(components(linked(rows, marks, width, num, den)), "cls", "left")
+    named = full.groupBy("cls").agg(F.min("doc_id").alias("first")).join(components(linked(rows.drop("row"), marks, width, num, den)), "cls", "left")
     named = stored(named.select("cls", F.coalesce("comp", "cls").alias("comp"), "first"), "named")
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     parts = 16
-    of_class = named.join(smallest, "comp").select("cls", "component_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    of_class = named.join(smallest, "comp").select("cls", "comp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     dealt = full.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).join(of_class, ["cls", "part"])
-    empty = known.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return dealt.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = known.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("comp"))
+    dropped(marks)
+    return dealt.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row", "comp").unionByName(empty)
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each component stays (that of its smallest id), with the columns of ``docs``; rows with a null id stay."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, width=width, num=num, den=den)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, column(doc_id) == F.col("__gone"), "left_anti").select(*map(column, docs.columns))
+    """Exactly one row of each component stays, with the columns of ``docs``: that of the smallest id (of equal ids, that of the
+    smallest hash; of equal rows, any one; rows without an id come last). Rows of the empty set stay."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, width=width, num=num, den=den).filter("comp is not null")
+    each = stored(found.groupBy("comp", "doc_id", "row").agg(F.count("*").alias("copies")), "rows")
+    first = each.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("f")).select("comp", F.col("f.row").alias("kept"))
+    each = each.join(first, "comp").select("row", (F.col("row") == F.col("kept")).alias("kept"), "copies")
+    several = stored(each.filter("not kept or copies > 1"), "gone")
+    own = docs.withColumn("__row", _row(doc_id, text))
+    alone = own.join(several.select(F.col("row").alias("__row")), "__row", "left_anti")
+    one = own.join(several.filter("kept").select(F.col("row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return alone.unionByName(one).select(*map(column, docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100).drop("row", "comp")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
