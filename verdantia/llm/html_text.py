@@ -2,12 +2,13 @@
 
 A page is read into blocks (runs of text between block-level tags, references decoded, white space collapsed). Scripts,
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by their elements, or by the words of
-their class, id or role. Where a page marks its article (article, main), blocks outside it go as well.
+their class, id or role. Words that articles use for themselves as well (``search-results``, ``related-work``) are a hint only:
+such blocks stay unless the host's pages share them. Where a page marks its article (article, main), blocks outside it go as well.
 
 What is left is compared over the host: the pages' blocks, as tokens, are concatenated, and a suffix array with common
 prefix lengths finds the runs of at least ``LEAST_WORDS`` words that distinct pages share. Blocks so covered are
-boilerplate and go, unique runs stay: on pages without a marked article from two pages on, and inside a marked article
-(where copied passages are text) only from ``LEAST_PAGES`` pages and more than half of all those compared.
+boilerplate and go, unique runs stay: on pages without a marked article, and where a class word hints at it, from two pages on;
+inside a marked article (where copied passages are text) only from ``LEAST_PAGES`` pages and more than half of all those compared.
 
 A host's pages lie in shards of about ``PAGES`` pages each, so that a host with a third of all pages is dealt over many
 tasks; a smaller host is one shard. The list of hosts that need more than one shard is bounded by ``LARGE_HOSTS``: shards
@@ -55,38 +56,43 @@ _BLOCK = frozenset(
 _DROPPED = frozenset("nav footer aside form button head menu dialog".split())
 #: Words of class, id or role that mark what is no part of the article.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments commentlist disqus replies reply respond share sharing social newsletter subscribe subscription signup login related recommended toolbar pagination pager widget widgets search skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar complementary footer contentinfo masthead cookie cookies consent gdpr popup modal overlay comment comments commentlist disqus replies share sharing newsletter subscribe subscription signup login toolbar pagination pager".split()
 )
+#: Words that do so by themselves; within a longer name they are a hint.
+_HINTS = frozenset("banner aside notice notices reply respond social related recommended widget widgets search skip".split())
+#: Kinds of blocks.
+OUTSIDE, INSIDE, HINT_INSIDE, HINT_OUTSIDE = range(4)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSES_P = _BLOCK - {"option", "optgroup", "body", "html", "head"}
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """(no part of the article, the article's own element)"""
-    out = main = False
+def _marks(attrs: str) -> tuple[bool, bool, bool]:
+    """(no part of the article, perhaps none, the article's own element)"""
+    out = hint = main = False
     for name, a, b, c in _ATTR.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
         out |= name == "hidden" and value != "until-found"
         if name != "hidden":
             words = re.split(r"[^a-z0-9]+", value)
-            out |= not _MARKS.isdisjoint(words)
+            out |= not _MARKS.isdisjoint(words) or not _HINTS.isdisjoint(value.split())
+            hint |= not _HINTS.isdisjoint(words)
             main |= name == "role" and value == "main"
-    return out, main
+    return out, hint, main
 
 
-def read_blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, inside a marked article) of a page's blocks, those of dropped elements left out."""
+def read_blocks(page: str | None) -> list[tuple[str, int]]:
+    """(text, kind) of a page's blocks, those of dropped elements left out."""
     if not page:
         return []
-    blocks: list[tuple[str, bool]] = []
+    blocks: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside
-    at, dropped, inside = 0, False, False
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, inside, hint
+    at, dropped, inside, hint = 0, False, False, False
 
     def flush() -> None:
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                blocks.append((text, inside))
+                blocks.append((text, (HINT_INSIDE if hint else INSIDE) if inside else HINT_OUTSIDE if hint else OUTSIDE))
             parts.clear()
 
     for m in _TOKEN.finditer(page):
@@ -109,16 +115,16 @@ def read_blocks(page: str | None) -> list[tuple[str, bool]]:
             if any(s[0] == tag for s in stack):
                 while stack and stack.pop()[0] != tag:
                     pass
-                _, dropped, inside = stack[-1] if stack else ("", False, False)
+                _, dropped, inside, hint = stack[-1] if stack else ("", False, False, False)
         elif not m["attrs"].rstrip().endswith("/") or tag in _BLOCK:
             if tag in _CLOSES_P and any(s[0] == "p" for s in stack) and not any(s[0] in ("table", "td", "button") for s in stack[[s[0] for s in stack].index("p") :]):
                 while stack.pop()[0] != "p":
                     pass
-                _, dropped, inside = stack[-1] if stack else ("", False, False)
-            out, main = _marks(m["attrs"]) if m["attrs"] else (False, False)
+                _, dropped, inside, hint = stack[-1] if stack else ("", False, False, False)
+            out, perhaps, main = _marks(m["attrs"]) if m["attrs"] else (False, False, False)
             out |= tag in _DROPPED or (tag == "header" and not inside)
-            stack.append((tag, dropped or (out and tag not in ("html", "body")), inside or main or tag in ("article", "main")))
-            _, dropped, inside = stack[-1]
+            stack.append((tag, dropped or (out and tag not in ("html", "body")), inside or main or tag in ("article", "main"), hint or (perhaps and tag not in ("html", "body"))))
+            _, dropped, inside, hint = stack[-1]
     if at < len(page) and not dropped:
         parts.append(page[at:])
     flush()
@@ -188,44 +194,50 @@ def shared_lengths(order: np.ndarray, lcp: np.ndarray, page: np.ndarray, least:
     return best
 
 
-def boilerplate(pages: list[list[tuple[int, int, bool]]]) -> list[set[int]]:
-    """For each page of one host, given its blocks' (hash, words, inside): the blocks that shared runs cover."""
+def least_pages(kind: int, pages: int) -> int:
+    """The pages that have to share a block of this kind for it to go."""
+    return max(LEAST_PAGES, pages // 2 + 1) if kind == INSIDE else 2
+
+
+def boilerplate(pages: list[list[tuple[int, int, int]]]) -> list[set[int]]:
+    """For each page of one host, given its blocks' (hash, words, kind): the blocks that shared runs cover."""
     out: list[set[int]] = [set() for _ in pages]
     if len(pages) < 2:
         return out
-    tokens, owner, words, inside = [], [], [], []
+    tokens, owner, words, kinds = [], [], [], []
     for k, blocks in enumerate(pages):
         for h, n, i in blocks:
             tokens.append(h)
             owner.append(k)
             words.append(n)
-            inside.append(i)
+            kinds.append(i)
         tokens.append(-1 - k)  # no run crosses pages
         owner.append(k)
         words.append(0)
-        inside.append(False)
+        kinds.append(OUTSIDE)
     order, lcp = suffix_array(np.array(tokens, np.int64))
     page, size = np.array(owner), np.concatenate([[0], np.cumsum(words)])
     first = np.concatenate([[0], np.cumsum([len(b) + 1 for b in pages])])
-    for least, within in ((2, False), (max(LEAST_PAGES, len(pages) // 2 + 1), True)):
+    for least in {least_pages(k, len(pages)) for k in kinds}:
         if least > len(pages):
             continue
         length = shared_lengths(order, lcp, page, least)
         for at in np.flatnonzero(length):
             if size[at + length[at]] - size[at] >= LEAST_WORDS:
                 k = owner[at]
-                out[k].update(b - int(first[k]) for b in range(int(at), int(at + length[at])) if inside[b] == within)
+                out[k].update(b - int(first[k]) for b in range(int(at), int(at + length[at])) if least_pages(kinds[b], len(pages)) == least)
     return out
 
 
 # ---------------------------------------------------------------- hosts of several shards
-def stream(texts: list[str], inside: list[bool]) -> tuple[list[int], list[tuple[int, int, bool]]]:
-    """(the blocks compared, their (hash, words, inside)): all, or with a marked article those inside it"""
-    kept = [k for k in range(len(texts)) if not any(inside) or inside[k]]
-    return kept, [(xxhash.xxh64_intdigest(texts[k]) >> 1, texts[k].count(" ") + 1, inside[k]) for k in kept]
+def stream(texts: list[str], kinds: list[int]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(the blocks compared, their (hash, words, kind)): all, or with a marked article those inside it"""
+    own = {INSIDE, HINT_INSIDE}
+    kept = [k for k in range(len(texts)) if own.isdisjoint(kinds) or kinds[k] in own]
+    return kept, [(xxhash.xxh64_intdigest(texts[k]) >> 1, texts[k].count(" ") + 1, kinds[k]) for k in kept]
 
 
-def least_runs(blocks: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]]:
+def least_runs(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(hash, first, stop) of the runs of at least ``LEAST_WORDS`` words that are too short without their first or last block."""
     out = []
     for at in range(len(blocks)):
@@ -240,10 +252,9 @@ def least_runs(blocks: list[tuple[int, int, bool]]) -> list[tuple[int, int, int]
     return out
 
 
-def covered(blocks: list[tuple[int, int, bool]], counts: dict[int, int], pages: int) -> set[int]:
+def covered(blocks: list[tuple[int, int, int]], counts: dict[int, int], pages: int) -> set[int]:
     """The blocks that shared runs cover, given the distinct pages of the host's shared runs and the host's pages."""
-    least = max(LEAST_PAGES, pages // 2 + 1) if blocks and blocks[0][2] else 2
-    return {k for h, at, stop in least_runs(blocks) if counts.get(h, 1) >= least for k in range(at, stop)}
+    return {k for h, at, stop in least_runs(blocks) for k in range(at, stop) if counts.get(h, 1) >= least_pages(blocks[k][2], pages)}
 
 
 # ---------------------------------------------------------------- the operator
@@ -270,7 +281,7 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", p
                 blocks = [read_blocks(x) for x in b.column(2).to_pylist()]
                 shard = [f"{h} {xxhash.xxh64_intdigest(repr((i, u))) % large.get(h, 1)}" for h, i, u in zip(hosts, ids.to_pylist(), urls, strict=True)]
                 texts = pa.array([[t for t, _ in x] for x in blocks], pa.list_(pa.string()))
-                inside = pa.array([[i for _, i in x] for x in blocks], pa.list_(pa.bool_()))
+                inside = pa.array([[i for _, i in x] for x in blocks], pa.list_(pa.int8()))
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, b.column(1), texts, inside], names=["shard", "page_id", "url", "blocks", "inside"])
 
     def runs(batches):
@@ -309,7 +320,7 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", p
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out, pa.string())})
 
     parts, result = shuffle_partitions(pages.sparkSession), f"page_id {kind}, url string, text string"
-    read_rows = rows.mapInArrow(read, f"shard string, page_id {kind}, url string, blocks array<string>, inside array<boolean>")
+    read_rows = rows.mapInArrow(read, f"shard string, page_id {kind}, url string, blocks array<string>, inside array<tinyint>")
     by_shard = read_rows.repartition(parts, "shard").groupBy("shard")
     if not large:
         return by_shard.applyInArrow(lambda group: clean(group), result)
