@@ -258,7 +258,8 @@ def _counted(seen: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFr
     several = distinct.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("key", "m")
     several = stored(several, f"several-{name}")  # a table of its own, so that Spark can split a frequent key's rows in the join
     rest = [c for c in seen.columns if c not in ("key", "whole")]
-    some = seen.join(several, "key").groupBy("key", "whole").agg(*(F.first(c).alias(c) for c in [*rest, "m"]))
+    # Grouped by a hash of both, as by the key alone the join's own rows would do, which Spark could then not split.
+    some = seen.join(several, "key").groupBy(F.xxhash64("key", "whole").alias("__kw")).agg(*(F.first(c).alias(c) for c in ["key", "whole", *rest, "m"])).drop("__kw")
     return settled, some, [distinct, several]
 
 
