@@ -1,10 +1,12 @@
 """Byte-level BPE, encoding and decoding.
 
-The corpus' most frequent distinct pieces (at most ``HEAD``) are encoded once, by Spark higher-order functions: a fold over a
-piece's byte array merges the adjacent pair of lowest rank until none has one; the ranks are a literal map. Their ids go
-to every task. Pieces outside that bounded head are folded in the Arrow function that assembles the documents, many
-pieces at a time in numpy (joining them back would shuffle every rare word of every text). Decoding concatenates the
-ids' binary pieces in Spark.
+1. Every match of the tokenizer's pattern is a piece; the corpus' distinct pieces are counted.
+2. Every distinct piece is encoded once, by Spark higher-order functions: a fold over the piece's bytes merges the adjacent pair
+   of lowest rank until none has one; the ranks of pairs are a literal map. (A piece of more than ``LONG`` bytes, for which
+   a fold that copies arrays is quadratic, is merged by a heap of its pairs.)
+3. The ids come back to the texts in two ways: those of the most frequent pieces (at most ``HEAD``, some ten bytes each) are
+   sent to all tasks; the others are joined by the pieces' 64-bit hashes, once for each text that has them.
+4. Decoding concatenates the ids' binary pieces in Spark.
 
 Defined cases: null and empty texts have no ids and decode to nothing; repeated rows and ties stay as they are; an empty
 table gives an empty one; only the named columns are read, so others may have any names.
@@ -15,7 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, mix64, shuffle_partitions, stored, table
-from .scan import Cut, HashIndex, PieceIds, by_bytes, byte_bpe_pieces, head, piece_counts, raw
+from .common import column, dropped, ragged, shuffle_partitions, stored, table
+from .scan import Cut, HashIndex, by_bytes, byte_bpe_pieces, head, piece_counts, raw
 
-#: Pieces encoded ahead, the most frequent ones; bounds the broadcast (about 40 bytes each).
+#: Most frequent pieces, whose ids are sent to all tasks; bounds that broadcast.
 HEAD = 1 << 18
 #: Bytes of a piece beyond which folds of arrays take too many rounds: a heap of pairs merges it.
-LONG = 256
-_BUCKETS = 1 << 14
+LONG = 512
+_BUCKETS = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,140 +41,83 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 # ---------------------------------------------------------------- Spark's fold
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, indexed by crc32, as Spark scans a map from its first key."""
-    held: list[dict] = [{} for _ in range(_BUCKETS)]
-    for k, v in ranks.items():
-        held[zlib.crc32(k) % _BUCKETS][k.hex().upper()] = v
-    return F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def rank_of(piece: Column, literal: Column) -> Column:
-    """The rank of a binary piece, or null."""
-    return F.try_element_at(F.element_at(literal, (F.crc32(piece) % _BUCKETS + 1).cast("int")), F.hex(piece))
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def fold_merges(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of one binary piece: array<int>. The literal is bound once, so that the plan holds one copy of it."""
-    return _let(rank_literal(ranks), lambda literal: _fold(piece, literal))
-
-
-def _fold(piece: Column, literal: Column) -> Column:
-    def rank(x: Column) -> Column:
-        return rank_of(x, literal)
-
-    whole = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
-
-    def pairs(parts: Column) -> Column:
-        return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(F.concat(x, F.element_at(parts, i + 2))))
-
-    def merge(state: Column, _: Column) -> Column:
-        parts, known = state["parts"], state["ranks"]
-
-        def at(p: Column) -> Column:
-            joined = F.concat(F.element_at(parts, p), F.element_at(parts, p + 1))
-            none = F.slice(known, F.lit(1), F.lit(0))
-            left = F.when(p > 1, F.array(rank(F.concat(F.element_at(parts, F.greatest(p - 1, F.lit(1))), joined)))).otherwise(none)
-            right = F.when(p < F.size(known), F.array(rank(F.concat(joined, F.element_at(parts, F.least(p + 2, F.size(parts))))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), p - 1), F.array(joined), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(known, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(known, p + 2, F.size(parts))).alias("ranks"),
-            )
-
-        least = F.array_min(known)
-        return F.when(least.isNull(), state).otherwise(_let(F.array_position(known, least).cast("int"), at))
-
-    start = F.struct(whole.alias("parts"), pairs(whole).alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(piece)), start, merge, lambda s: F.transform(s["parts"], rank))
-    return F.when(F.length(piece) == 0, F.array().cast("array<int>")).when(rank(piece).isNotNull(), F.array(rank(piece))).otherwise(folded)
-
-
-# ---------------------------------------------------------------- numpy's fold, for rare pieces
-class Folder:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        left, right, made = [], [], []
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
-                    left.append(a)
-                    right.append(b)
-                    made.append(rank)
-        self.pairs = HashIndex()
-        self.pairs.add(self._key(np.array(left, np.int64), np.array(right, np.int64)), np.array(made, np.int32))
-
-    @staticmethod
-    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.uint64(1))
-
-    def _long(self, piece: bytes) -> list[int]:
-        """One long piece: the pairs in a heap by (rank, place), the parts in a linked list."""
-        import heapq
-
-        ids, after, before = [int(self.byte[b]) for b in piece], list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-        parts: list = [piece[k : k + 1] for k in range(len(piece))]
-        ranks, heap = self.ranks, []
-
-        def put(k: int) -> None:
-            if k >= 0 and (n := after[k]) < len(parts) and (r := ranks.get(parts[k] + parts[n])) is not None:
-                heapq.heappush(heap, (r, k, parts[k], parts[n]))
-
-        for k in range(len(parts) - 1):
-            put(k)
-        while heap:
-            r, k, a, b = heapq.heappop(heap)
-            if parts[k] is not a or (n := after[k]) >= len(parts) or parts[n] is not b:
-                continue
-            parts[k], parts[n], ids[k], after[k] = a + b, None, r, after[n]
-            if after[n] < len(parts):
-                before[after[n]] = k
-            put(before[k])
-            put(k)
-        return [i for i, x in zip(ids, parts, strict=True) if x is not None]
-
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and their number for each."""
-        done: list = [None] * len(pieces)
-        left = []
-        for k, x in enumerate(pieces):
-            if (r := self.ranks.get(x)) is not None:
-                done[k] = [r]
-            elif len(x) > LONG:
-                done[k] = self._long(x)
-            else:
-                left.append(k)
-        owner = np.repeat(np.array(left, np.int64), [len(pieces[k]) for k in left])
-        ids = self.byte[np.frombuffer(b"".join(pieces[k] for k in left), np.uint8)]
-        none = 1 << 30
-        while len(ids):
-            rank = np.full(len(ids), none, np.int64)
-            same = np.flatnonzero(owner[1:] == owner[:-1])
-            got = self.pairs.find(self._key(ids[same], ids[same + 1]))
-            rank[same] = np.where(got < 0, none, got)
-            heads = np.flatnonzero(np.diff(owner, prepend=-1))
-            size = np.diff(np.append(heads, len(ids)))
-            least = np.minimum.reduceat(rank, heads)
-            over = least == none
-            for k, a, n in zip(owner[heads[over]].tolist(), heads[over].tolist(), size[over].tolist(), strict=True):
-                done[k] = ids[a : a + n]
-            if over.all():
-                break
-            found = np.flatnonzero(rank == np.repeat(np.where(over, -1, least), size))
-            _, first = np.unique(owner[found], return_index=True)
-            at = found[first]
-            ids[at] = rank[at]
-            keep = np.repeat(~over, size)
-            keep[at + 1] = False
-            ids, owner = ids[keep], owner[keep]
-        counts = np.array([len(x) for x in done], np.int64)
-        return np.concatenate([np.asarray(x, np.int64) for x in done]) if done else np.empty(0, np.int64), counts
+def rank_literal(ranks: dict[bytes, int]) -> str:
+    """SQL of the literal ranks: pairs, buckets of (left * 65536 + right) with what they become; bytes, the rank of each byte.
+
+    A pair may merge if its joined bytes are a token, however that token is split. Buckets are short, as Spark looks for a
+    key from the first one on.
+    """
+    held: list[tuple[list[int], list[int]]] = [([], []) for _ in range(_BUCKETS)]
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                keys, made = held[(left * 8191 + right) % _BUCKETS]
+                keys.append(left * 65536 + right - (1 << 31))
+                made.append(rank)
+    pairs = json.dumps([{"k": k, "v": v} for k, v in held], separators=(",", ":"))
+    single = json.dumps([ranks[bytes([b])] for b in range(256)], separators=(",", ":"))
+    return f"named_struct('pairs', from_json('{pairs}', 'array<struct<k:array<int>,v:array<int>>>'), 'bytes', from_json('{single}', 'array<int>'))"
+
+
+_NONE = 1 << 40  # above all ranks
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def fold_merges(piece: str, ranks: dict[bytes, int]) -> Column:
+    """Ids of one binary piece (a column's name) of at least two bytes: array<int>.
+
+    The state is an array of one number a part: its id, and above 16 bits the rank of the pair that it begins. The least
+    number is the pair to merge (the first of equals); its parts become one, and the pairs beside it get new ranks. Written
+    as SQL, as its trees are evaluated faster than those of the column functions; the literal stands in it once.
+    """
+
+    def part(left: str, right: str) -> str:
+        of = f"element_at(ranks.pairs, ({left} * 8191 + {right}) % {_BUCKETS} + 1)"
+        found = f"get(h.v, int(array_position(h.k, int(bigint({left}) * 65536 + {right} - 2147483648L))) - 1)"
+        return _let(of, "h", f"shiftleft(coalesce({found}, {_NONE}L), 16) + {left}")
+
+    last, made = f"{_NONE << 16}L", "int(shiftright(m, 16))"
+    before = f"slice(s, 1, greatest(p - 2, 0)), if(p > 1, array({part('int(get(s, p - 2) & 65535L)', made)}), slice(s, 1, 0))"
+    own = f"array(if(p + 1 < size(s), {part(made, 'int(get(s, p + 1) & 65535L)')}, {last} + shiftright(m, 16)))"
+    merged = _let("int(array_position(s, m))", "p", f"concat({before}, {own}, slice(s, p + 2, size(s)))")
+    step = f"(s, x) -> {_let('array_min(s)', 'm', f'if(m >= {last}, s, {merged})')}"
+    start = f"concat(zip_with(slice(i, 1, size(i) - 1), slice(i, 2, size(i)), (a, b) -> {part('a', 'b')}), array({last} + element_at(i, -1)))"
+    fold = f"aggregate(sequence(2, size(i)), {start}, {step}, s -> transform(s, e -> int(e & 65535L)))"
+    single = f"transform(split(decode({piece}, 'ISO-8859-1'), ''), c -> get(ranks.bytes, ascii(c)))"
+    return F.expr(_let(rank_literal(ranks), "ranks", _let(single, "i", fold)))
+
+
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """One long piece: the pairs in a heap by (rank, place), the parts in a linked list."""
+    import heapq
+
+    after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
+    parts: list = [piece[k : k + 1] for k in range(len(piece))]
+    heap: list = []
+
+    def put(k: int) -> None:
+        if k >= 0 and (n := after[k]) < len(parts) and (r := ranks.get(parts[k] + parts[n])) is not None:
+            heapq.heappush(heap, (r, k, parts[k], parts[n]))
+
+    for k in range(len(parts) - 1):
+        put(k)
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        if parts[k] is not a or (n := after[k]) >= len(parts) or parts[n] is not b:
+            continue
+        parts[k], parts[n], after[k] = a + b, None, after[n]
+        if after[n] < len(parts):
+            before[after[n]] = k
+        put(before[k])
+        put(k)
+    return [ranks[x] for x in parts if x is not None]
+
+
+# ---------------------------------------------------------------- texts to pieces
 def cut_texts(texts: pa.Array) -> Cut:
     """Every match of the pattern as a piece; texts beyond Latin Extended-A by the regex library."""
     cut, odd = byte_bpe_pieces(texts)
@@ -196,9 +141,25 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def _hashed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pieces in columns:
+        data, edges = raw(pieces)
+        yield pa.array(Cut(data, edges, edges[:-1], edges[1:]).hashes().view(np.int64))
+
+
+def encode_pieces(counts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(h, n, ids array<int>) of distinct pieces (piece, n) of at most LONG bytes; a piece that is a token is its own id, all others are folded."""
+    spark = counts.sparkSession
+    whole = spark.createDataFrame(pa.table({"piece": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32())}))  # the vocabulary
+    rows = counts.filter(F.length("piece") <= LONG).repartition(shuffle_partitions(spark), "piece")  # few bytes, much work
+    known = rows.join(F.broadcast(whole), "piece", "left")
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fold_merges("piece", ranks))
+    return known.select(F.arrow_udf(_hashed, "bigint")("piece").alias("h"), "n", ids.alias("ids"))
+
+
 @functools.lru_cache(maxsize=1)
-def _ids(path: str, job: str) -> PieceIds:
-    return PieceIds(Folder(load_ranks(path)), np.uint16, 480_000)
+def _long_ids(path: str) -> dict[bytes, int]:
+    return load_ranks(path)
 
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", most: int = HEAD) -> DataFrame:
@@ -206,29 +167,86 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
 
     ``path``: a ``.tiktoken`` file of at most 65,536 ranks that hold every single byte, readable wherever tasks run.
     """
-    import uuid
-
     spark = docs.sparkSession
-    common = head(stored(piece_counts(docs, cut_texts, text), "pieces"), most).filter(F.length("piece") <= LONG)
-    common = common.select("piece").repartition(shuffle_partitions(spark), "piece")  # few bytes, much work
-    folded = common.select("piece", fold_merges(F.col("piece"), load_ranks(path)).alias("ids")).toArrow()  # at most `most` rows
-    sent = spark.sparkContext.broadcast((folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks(), uuid.uuid4().hex))
-
-    def run(batches):
-        pieces, ids, job = sent.value
-        store = _ids(path, job)
-        for batch in by_bytes(batches, 1):
-            if (not store.n or store.n > store.most) and len(pieces):
-                store.clear()
-                data, edges = raw(pieces)
-                cut = Cut(data, edges, edges[:-1], edges[1:])
-                store.learn(cut.hashes(), pc.list_flatten(ids).to_numpy(), pc.list_value_length(ids).to_numpy())
-            got, counts = store.ids(cut_texts(batch.column(1)))
-            edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(got.astype(np.int32)))], names=["doc_id", "ids"])
+    counts = stored(piece_counts(docs, cut_texts, text), "pieces")
+    folded = stored(encode_pieces(counts, load_ranks(path)), "folded")
+    dropped(counts)
+    frequent = head(folded, most)
+    top = frequent.select("h", "ids").toArrow()  # at most `most` rows
+    index = HashIndex()
+    index.add(top.column("h").to_numpy().view(np.uint64), np.arange(top.num_rows, dtype=np.int32))
+    held = pc.list_flatten(top.column("ids").combine_chunks()).to_numpy().astype(np.uint16)
+    size = pc.list_value_length(top.column("ids").combine_chunks()).to_numpy().astype(np.int32)
+    sent = spark.sparkContext.broadcast((index, held, np.cumsum(size) - size, size))
+    del top
+
+    def known(batches):
+        index, held, start, size = sent.value
+        for batch in by_bytes(batches, 2):
+            cut = cut_texts(batch.column(2))
+            hashes = cut.hashes()
+            rows = index.find(hashes)
+            n = np.where(rows >= 0, size[rows] if len(size) else 0, 1).astype(np.int64)
+            end = np.cumsum(n)
+            ids = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
+            hit = np.flatnonzero(rows >= 0)
+            ids[ragged(end[hit] - n[hit], n[hit])] = held[ragged(start[rows[hit]], n[hit])]
+            miss = np.flatnonzero(rows < 0)
+            over = {int(k): merge_long(cut.piece(k), _long_ids(path)) for k in miss[cut.end[miss] - cut.start[miss] > LONG]}
+            owner, edge = cut.owner(), np.concatenate([[0], end])[cut.first]
+            ids[end[miss] - 1] = -1
+            texts, rare = [], []
+            for k in range(batch.num_rows):
+                own = ids[edge[k] : edge[k + 1]]
+                a, b = np.searchsorted(owner[miss], [k, k + 1])
+                mine = miss[a:b]
+                if len(mine) and over:
+                    parts, at = [], int(edge[k])
+                    for p in [int(p) for p in mine if int(p) in over]:
+                        parts += [ids[at : end[p] - 1], np.array(over[p], np.int64)]
+                        at = int(end[p])
+                    own = np.concatenate([*parts, ids[at : edge[k + 1]]])
+                    mine = np.array([p for p in mine if int(p) not in over], np.int64)
+                distinct, which = np.unique(hashes[mine], return_inverse=True) if len(mine) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                own = own.copy()
+                own[own < 0] = -1 - which
+                texts.append(own.astype("<i4").tobytes())
+                rare.append(distinct.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "row", "ids", "rare"])
 
     kind = docs.select(column(doc_id)).schema[0].dataType.simpleString()
-    return docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    body = column(text).cast("string")
+    rows = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), body).alias("row"), body.alias("text"))
+    part = stored(rows.mapInArrow(known, f"doc_id {kind}, row long, ids binary, rare array<bigint>"), "partly")
+    asked = part.select("row", F.posexplode("rare").alias("k", "h"))
+    found = asked.join(folded.select("h", F.col("ids").alias("own")), "h")
+    found = stored(found.groupBy("row").agg(F.collect_set(F.struct("k", "own")).alias("found")), "rare")
+    both = part.select("doc_id", "row", "ids").join(found, "row", "left")
+
+    def filled(batches):
+        for batch in by_bytes(batches, 1):
+            out = []
+            for raw_ids, got in zip(batch.column(1), batch.column(2), strict=True):
+                ids = np.frombuffer(raw_ids.as_buffer(), "<i4")
+                if got.is_valid:
+                    got = sorted(got.as_py(), key=lambda x: x["k"])
+                    n = np.array([len(x["own"]) for x in got], np.int64)
+                    flat, start = np.array([i for x in got for i in x["own"]], np.int32), np.cumsum(n) - n
+                    which = -1 - ids
+                    size = np.where(ids < 0, n[np.maximum(which, 0)], 1)
+                    end = np.cumsum(size)
+                    full = np.empty(int(end[-1]), np.int32)
+                    plain = np.flatnonzero(ids >= 0)
+                    full[end[plain] - 1] = ids[plain]
+                    miss = np.flatnonzero(ids < 0)
+                    full[ragged(end[miss] - size[miss], size[miss])] = flat[ragged(start[which[miss]], size[miss])]
+                    ids = full
+                out.append(ids)
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            flat = np.concatenate(out) if out else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc_id", "ids"])
+
+    return both.select("doc_id", "ids", "found").mapInArrow(filled, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
