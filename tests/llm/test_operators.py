@@ -2,8 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
+from math import log10
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -31,11 +35,25 @@ def test_byte_bpe_round_trip(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
-    got = by_id(byte_bpe.digests(byte_bpe.encode(docs, path, most=40), path))
-    for k, t in enumerate(TEXTS):
-        ids = library.encode_ordinary(t or "")
-        assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    for most in (40, 1 << 18):
+        got = by_id(byte_bpe.digests(byte_bpe.encode(docs, path, most=most), path))
+        for k, t in enumerate(TEXTS):
+            ids = library.encode_ordinary(t or "")
+            assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_every_piece_is_folded_by_spark(spark, docs, monkeypatch):
+    """Only pieces of more than LONG bytes leave the fold, which is exact for all bytes."""
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    draw = random.Random(2)
+    pieces = [bytes(draw.choices(range(256), k=draw.randint(2, 40))) for _ in range(60)] + [b"=" * 500, b" internationalisation", b"aaaaaaaab"]
+    df = spark.createDataFrame([(bytearray(p), 1) for p in pieces], "piece binary, n long")
+    got = {bytes(r.piece): r.ids for r in df.select("piece", byte_bpe.fold_merges("piece", ranks).alias("ids")).collect()}
+    assert got == {p: byte_bpe.merge_long(p, ranks) for p in pieces}
+    called = []
+    monkeypatch.setattr(byte_bpe, "merge_long", lambda piece, ranks: called.append(piece))
+    assert byte_bpe.encode_pieces(df, ranks).count() == len(pieces) and not called
 
 
 def test_token_store(spark, docs, tmp_path):
@@ -95,20 +113,109 @@ def test_quality_bits_and_ablations(spark, docs):
     assert quality_rules.quality_filter(docs).columns == docs.columns
 
 
-def test_language_model_and_id(spark, docs):
+def test_language_model_against_brute_force(spark, docs):
+    """Counts and base score in plain Python; the model's probabilities are normalised over all words."""
     scored = by_id(language_model.score(docs, ~language_model.held_out(F.col("doc_id"), 10)), "key")
-    assert len(scored) == len(TEXTS) and scored[0].n_tokens == 1 and all(r.score < 0 for r in scored.values())
-    network = language_id.fit(docs.withColumnRenamed("hits", "lang"))
-    found = by_id(language_id.identify(docs, network, out="hits"))
-    assert found[0].hits["lang"] == "und" and found[47].hits["lang"] == "und" and found[9].hits["lang"] == "l"
+    words = {k: [w for w in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for k, t in enumerate(TEXTS)}
+    counts = Counter(w for k, ws in words.items() if zlib.crc32(str(k).encode()) % 10 for w in ws)
+    total, kinds = sum(counts.values()), len(counts)
+    for k, ws in words.items():
+        row = scored[k]
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), total)
+        assert abs(row.base_score - sum(log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)) < 1e-6 and row.score < 0
+
+
+def test_language_model_is_normalised_and_learns():
+    rng = np.random.default_rng(0)
+    shares = np.full(12, 1 / 12)
+    model = language_model.Model.start(shares)
+    every = np.concatenate([np.exp(model.log_probs(np.full(5, k), np.arange(20).reshape(5, 4) % 12)) for k in range(12)]).reshape(12, 5)
+    assert np.allclose(every.sum(axis=0), 1, atol=1e-4)
+    context = rng.integers(0, 12, (20_000, 4))
+    target = (context[:, 0] + 1) % 12  # the word before decides
+    trainer = language_model.Trainer(model, shares, 1)
+    for at in range(0, len(target), 256):
+        trainer.step(target[at : at + 256], context[at : at + 256])
+    assert np.mean(trainer.m.log_probs(target[:500], context[:500])) > np.log(1 / 12) + 0.7
+
+
+def test_language_id_on_held_out_texts(spark):
+    """Accuracy on texts that were not learned from; null, blank and letterless texts; ids and sources are never looked at."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_id.held_out(F.col("doc_id"))
+    network = language_id.fit(table.filter(~out))
+    judged = language_id.identify(table.filter(out), network, out="x").select("lang", "x.lang", "x.score").toDF("lang", "guess", "score").collect()
+    assert np.mean([r.lang == r.guess for r in judged]) > 0.97 and all(0 <= r.score <= 1 for r in judged)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "12 =="), (5, "the and of that with")], "doc_id long, text string")
+    got = by_id(language_id.identify(odd, network, out="x"))
+    assert [got[k].x["lang"] for k in range(1, 5)] == ["und"] * 4 and got[5].x["lang"] == "en"
 
 
-def test_empty_tables(spark, docs):
-    none = docs.filter("false")
-    assert jaccard_join.near_duplicates(none).count() == 0
-    assert suffix_dedup.remove_repeats(none).count() == 0
-    assert language_id.fit(none.withColumnRenamed("hits", "lang")) is None
-    assert language_model.score(none, F.lit(True), doc_id="doc_id").count() == 0
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, a text of five megabytes, and columns with the outputs' names."""
+    long = " ".join(f"{w}{k}" for k, w in enumerate(WORDS * 70_000))
+    rows = [(None, "one two three four five six seven"), (None, "one two three four five six seven"), (3, TEXTS[9]), (3, TEXTS[9]), (4, None), (4, ""), (5, long), (6, long[:200_000])]
+    return spark.createDataFrame([(i, t, 7, "x", "y") for i, t in rows], "doc_id long, text string, quality int, repeats string, lang string").repartition(3)
+
+
+def _run(spark, name, docs, tmp_path):
+    path = public_tokenizers.path
+    if name == "bpe":
+        return byte_bpe.encode(docs, path("byte_bpe_multi_50k.tiktoken"))
+    if name == "url":
+        return url_reputation.judge(docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url"), docs.select("doc_id", "quality", F.lit(0).alias("toxic")))
+    if name == "lm":
+        return language_model.score(docs, ~language_model.held_out(F.col("doc_id"), 10))
+    if name == "no learning":
+        return language_model.score(docs, F.lit(False))
+    if name == "decontaminate":
+        return decontaminate.contamination(docs, spark.createDataFrame([(None, "one two three"), (2, None), (3, TEXTS[9])], "item_id long, text string"), out="quality")
+    if name == "no items":
+        return decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string"), out="quality")
+    if name == "jaccard":
+        return jaccard_join.near_duplicates(docs)
+    if name == "suffix":
+        return suffix_dedup.remove_repeats(docs)
+    if name == "html":
+        return html_text.main_text(docs.withColumnRenamed("doc_id", "page_id").withColumn("url", F.col("repeats")).withColumnRenamed("text", "html"))
+    if name == "quality":
+        return quality_rules.ledger(docs)
+    if name == "store":
+        lengths = token_store.write_tokens(docs, path("word_bpe_49k.json"), f"file://{tmp_path}/t")
+        return token_store.read_tokens(spark, f"file://{tmp_path}/t", lengths)
+    return language_id.identify(docs, language_id.fit(docs), out="repeats")
+
+
+OPERATORS = ["bpe", "url", "lm", "no learning", "decontaminate", "no items", "jaccard", "suffix", "html", "quality", "store", "language"]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(spark, odd, name, tmp_path):
+    assert _run(spark, name, odd.filter("false"), tmp_path).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_null_ids_repeated_rows_long_texts_and_clashing_names(spark, odd, name, tmp_path):
+    rows = _run(spark, name, odd, tmp_path).collect()
+    assert len(rows) == 8
+    ids = Counter(r[0] if name != "store" else r["doc_id"] for r in rows)
+    assert ids == {None: 2, 3: 2, 4: 2, 5: 1, 6: 1}
+    if name == "suffix":
+        got = {r.doc_id: r.repeats for r in rows if r.doc_id in (5, 6)}
+        assert got[5]["n_removed"] >= 200_000 - 1000 and got[6]["n_removed"] == got[6]["n_bytes"]
+    if name == "decontaminate":
+        assert {(r.doc_id, len(r.quality["runs"]) > 0, tuple(r.quality["items"])) for r in rows} >= {(None, True, ()), (3, True, ("3",)), (4, False, ())}
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    t, near = TEXTS[9] + " a b c d e f g", TEXTS[9] + " a b c d e f g h"
+    rows = [(1, t), (1, t), (2, near), (None, t), (3, "quite another text of its own here"), (3, "quite another text of its own here"), (2, "a third text with the id of a near copy"), (4, None), (5, "")]
+    left = jaccard_join.deduplicate(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int"))
+    assert left.columns == ["doc_id", "text", "row"]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, t), rows[4], rows[6], (4, None), (5, "")])
+    ids = [(None, "same words in both of these rows here"), (None, "same words in both of these rows here")]
+    assert jaccard_join.deduplicate(spark.createDataFrame(ids, "doc_id long, text string")).count() == 1
 
 
 def test_urls(spark):
@@ -126,6 +233,51 @@ def test_html(spark):
     assert got[3].text == "own text 3 & more x" and got[9].text == ""
 
 
+def hinted(k, shared):
+    box = "<div class='related-box'><p>see our other pages on this topic</p></div>" if shared else ""
+    return f"<body><nav><p>go home</p></nav><article><p>text {k} of the article</p><div class='search-results'><p>result {k} of the study</p></div>{box}<div class='search'><p>search here for more of it</p></div></article></body>"
+
+
+@pytest.mark.parametrize("shard", [256, 2])
+def test_the_host_decides_on_hints(spark, shard, monkeypatch):
+    """A class word that articles use as well is a hint: shared blocks go, others stay. Without the host's array they would stay."""
+    pages = spark.createDataFrame([(k, f"http://h/{k}", hinted(k, k < 3)) for k in range(7)], "page_id long, url string, html string")
+    got = by_id(html_text.main_text(pages, pages_a_shard=shard), "page_id")
+    assert [got[k].text for k in range(7)] == [f"text {k} of the article\n\nresult {k} of the study" for k in range(7)]
+
+
+def brute_boilerplate(pages):
+    """Every run of blocks of at least LEAST_WORDS words, on how many pages it stands, and which blocks it so covers."""
+    seen = defaultdict(set)
+    for k, blocks in enumerate(pages):
+        for a in range(len(blocks)):
+            for b in range(a + 1, len(blocks) + 1):
+                if sum(n for _, n, _ in blocks[a:b]) >= html_text.LEAST_WORDS:
+                    seen[tuple(h for h, _, _ in blocks[a:b])].add(k)
+    out = []
+    for blocks in pages:
+        gone = set()
+        for a in range(len(blocks)):
+            for b in range(a + 1, len(blocks) + 1):
+                n = len(seen.get(tuple(h for h, _, _ in blocks[a:b]), ()))
+                gone |= {j for j in range(a, b) if n >= html_text.least_pages(blocks[j][2], len(pages))}
+        out.append(gone)
+    return out
+
+
+def test_shared_runs_against_brute_force():
+    draw = random.Random(4)
+    for _ in range(150):
+        kinds = draw.choice([(html_text.OUTSIDE, html_text.HINT_OUTSIDE), (html_text.INSIDE, html_text.HINT_INSIDE)])
+        size = {h: draw.randint(1, 5) for h in range(9)}
+        pages = [[(h := draw.randrange(9), size[h], draw.choice(kinds)) for _ in range(draw.randint(0, 6))] for _ in range(draw.randint(0, 12))]
+        want = brute_boilerplate(pages)
+        assert html_text.boilerplate(pages) == want
+        counts = Counter(h for blocks in pages for h in {r for r, _, _ in html_text.least_runs(blocks)})
+        if len(pages) > 1:
+            assert [html_text.covered(blocks, counts, len(pages)) for blocks in pages] == want
+
+
 class Here:
     """Stands for a frame of texts: runs the function of ``mapInArrow`` in this process."""
 

@@ -98,3 +98,20 @@ def test_run_equals_brute_force(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
     assert 0 < len(got) < len(rows)
     assert got == want
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, a long text, other columns: every stage keeps the columns of documents."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, quality int"
+    long = " ".join(f"word{k} goes on and" for k in range(60_000))
+    some = " ".join(f"this is text number {k} of it" for k in range(12))
+    rows = [(None, some), (None, some), (1, None), (2, ""), (3, long), (3, long)]
+    spark.createDataFrame([(1, "a b c"), (None, "x y z"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "r", 1) for i, t in rows], kind)
+    for given in (docs, docs.filter("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= given.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).count() == given.count()
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "None"]
