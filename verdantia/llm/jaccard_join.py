@@ -34,7 +34,8 @@ from .scan import HashIndex, by_bytes, words
 SAMPLE = 16  # one text in so many gives the rarity order
 SEEN = 6  # times in the sample from which a shingle counts as common
 COMMON = 1 << 19  # common shingles sent to the tasks, the most frequent ones; all others count as rare
-MERGE = 4096  # members up to which a list is held to merge it with equal ones
+MERGE = 4096  # members up to which a list is held to merge it with equal ones; a longer one is named by its shingle
+LIST = 4096  # members of a list in one task; two parts of a longer one meet in a task of their own
 BLOCK = 64
 PARTNERS = 512  # of a pivot in one task
 BITS = 23  # of the filter of classes to compare
@@ -275,14 +276,18 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of lists' pairs in different components, but those that the pivot's answers rule out. members: list, cls, n, place, comp, both (with the pivot), pivot_n."""
+    """(a, b, linked) of lists' pairs in different components, but those that the pivot's answers rule out. members: list, cls, n, place, comp, both (with the pivot), pivot_n.
+
+    Lists within one component go before they reach a task. A list of more than LIST members is dealt into parts, and a task
+    compares two of them (or one with itself), so that no task gets a whole long list.
+    """
 
     def run(batches):
-        for _, cls, n, place, comp, both, pivot_n in _runs(batches):
-            if len(cls) < 3 or (comp == comp[0]).all():
+        for _, cls, n, place, comp, both, pivot_n, part, cross in _runs(batches):
+            if (comp == comp[0]).all():
                 continue
             order = np.lexsort((place, n))
-            cls, n, place, comp, both, pivot_n = (x[order].astype(np.int64) for x in (cls, n, place, comp, both, pivot_n))
+            cls, n, place, comp, both, pivot_n, part = (x[order].astype(np.int64) for x in (cls, n, place, comp, both, pivot_n, part))
             starts = np.arange(0, len(cls), BLOCK)
             low_n = n[starts]
             low_place = np.minimum.reduceat(place, starts)
@@ -301,7 +306,9 @@ def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 if not len(blocks):
                     continue
                 y = ragged(starts[blocks], np.minimum(BLOCK, len(cls) - starts[blocks]))
-                y = y[(y > x) & (comp[np.minimum(y, len(cls) - 1)] != comp[x])]
+                y = y[(y > x) & (comp[y] != comp[x])]
+                if cross[0]:
+                    y = y[part[y] != part[x]]
                 least = _least(n[x], n[y], num, den)
                 fits = (den * n[x] >= num * n[y]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= least)
                 # No answer with the pivot (both < 0): nothing to derive from.
@@ -313,7 +320,12 @@ def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(sure)], names=["a", "b", "linked"])
 
-    placed = members.repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
+    sizes = members.groupBy("list").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    sizes = stored(sizes.filter("m > 2 and low < high").select("list", F.ceil(F.col("m") / LIST).cast("int").alias("parts")), "open-lists")
+    dealt = members.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = dealt.select(key.alias("key"), "cls", "n", "place", "comp", "both", "pivot_n", "part", (F.col("part") != F.col("other")).cast("int").alias("cross"))
+    placed = dealt.repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key", "cross")
     return placed.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
@@ -337,10 +349,13 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, marks: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes of ``docs`` (text; marks: their cls, n, bits), enough of them to connect every component."""
     lists = stored(_lists(docs, width, num, den), "lists")
-    score = lists.join(lists.groupBy("list").agg(F.count("*").alias("m")), "list").groupBy("cls").agg(F.sum("m").alias("score"))
-    scored = lists.join(score, "cls")
-    pivots = scored.groupBy("list").agg(F.max(F.struct("score", "cls", "n")).alias("p")).select("list", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    # What is joined by list is a table of its own each time, so that Spark can split the rows of a long list.
+    counts = stored(lists.groupBy("list").agg(F.count("*").alias("m")), "counts")
+    score = lists.join(counts, "list").groupBy("cls").agg(F.sum("m").alias("score"))
+    pivots = lists.join(score, "cls").groupBy("list").agg(F.max(F.struct("score", "cls", "n")).alias("p"))
+    pivots = stored(pivots.select("list", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
     members = stored(lists.join(pivots, "list"), "members")
+    dropped(counts, pivots)
     fits = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
     first = members.filter((F.col("pivot") != F.col("cls")) & fits).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     answers = stored(_overlaps(stored(_near(first, marks, num, den), "first"), docs, width), "answers")
