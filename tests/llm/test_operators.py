@@ -80,7 +80,9 @@ def test_decontamination_in_blocks(spark, docs):
     assert whole[4].hits["items"] == ["1"] and whole[9].hits["items"] and not whole[1].hits["items"]
 
 
-def test_jaccard_against_brute_force(spark, docs):
+@pytest.mark.parametrize("part", [2, 4096])
+def test_jaccard_against_brute_force(spark, docs, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST", part)  # lists are dealt in parts
     got = by_id(jaccard_join.near_duplicates(docs, width=4, num=85, den=100))
     sets = [None if not (t or "").encode().lower().split() else {tuple((t or "").encode().lower().split()[k : k + 4]) for k in range(max(1, len((t or "").encode().lower().split()) - 3))} for t in TEXTS]
     part = list(range(len(TEXTS)))
