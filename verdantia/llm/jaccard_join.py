@@ -35,7 +35,7 @@ SAMPLE = 16  # one text in so many gives the rarity order
 SEEN = 6  # times in the sample from which a shingle counts as common
 COMMON = 1 << 19  # common shingles sent to the tasks, the most frequent ones; all others count as rare
 MERGE = 4096  # members up to which a list is held to merge it with equal ones; a longer one is named by its shingle
-LIST = 4096  # members of a list in one task; two parts of a longer one meet in a task of their own
+LIST = 512  # members of a list in one task; two parts of a longer one meet in a task of their own
 BLOCK = 64
 PARTNERS = 512  # of a pivot in one task
 BITS = 23  # of the filter of classes to compare
