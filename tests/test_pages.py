@@ -53,7 +53,7 @@ def test_providers(spark):
     assert pages.count() == 6 and V.fetched(urls, pages, lambda u: (500, "")).count() == 0
     assert {(r.taxon, r.source_id) for r in eco.urls(taxa, pages).collect()} == {("Aa bb", 7), ("Cc dd", None)}
     got = {(r.taxon, r.source, r.source_id, r.text) for r in V.descriptions(taxa, pages, [eco, shared]).collect()}
-    assert got == {("Aa bb", "ecoflora", 7, "A herb. Tall."), ("Aa bb", "efloras.china", 12, "Leaves small.x\nPetals red.")}
+    assert got == {("Aa bb", "ecoflora", 7, "A herb. Tall."), ("Aa bb", "efloras.flora_of_china", 12, "Leaves small.x\nPetals red.")}
     assert shared.describe(taxa, pages).count() == 8 and eco.describe(taxa.limit(0), pages).count() == 0
     with pytest.raises(Exception, match="status 500"):
         V.fetched(urls, none, lambda u: (500, "")).collect()

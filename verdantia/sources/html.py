@@ -79,8 +79,8 @@ def _typed(pages, key, page, run, kind, name):
     return pages.select(key, F.arrow_udf(typed, kind)(F.col(page)).alias(name))
 
 
-def paragraphs_of(page: Column, within: str | None = None, mark: str | None = None, joiner: str = "\n", kept=None) -> Column:
-    """The paragraphs with a lower-case letter and no table inside ``within`` (an element, with a class or id), and which ``kept`` (a function of their column) takes, joined; null without any."""
+def paragraphs_of(page: Column, within: str | None = None, mark: str | None = None, joiner: str = "\n", kept=None, holds: str = "[a-z]") -> Column:
+    """The paragraphs that hold a pattern (a lower-case letter) and no table inside ``within`` (an element, with a class or id), and which ``kept`` (a function of their column) takes, joined; null without any."""
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in columns:
@@ -88,7 +88,7 @@ def paragraphs_of(page: Column, within: str | None = None, mark: str | None = No
             yield pa.array(found, pa.list_(pa.string()))
 
     def joined(found: Column) -> Column:
-        good = F.filter(found, lambda x: x.rlike("[a-z]") & (F.lit(True) if kept is None else kept(x)))
+        good = F.filter(found, lambda x: x.rlike(holds) & (F.lit(True) if kept is None else kept(x)))
         return let(good, lambda p: F.when(F.size(p) > 0, F.array_join(p, joiner)))
 
     return let(F.arrow_udf(run, "array<string>")(page), joined)

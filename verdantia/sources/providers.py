@@ -103,7 +103,7 @@ class EcologicalFlora:
 
 # ---------------------------------------------------------------- four floras of one site
 #: The floras by their ids on the site.
-FLORAS = {1: "north_america", 2: "china", 4: "taiwan_checklist", 5: "pakistan"}
+FLORAS = {1: "flora_of_north_america", 2: "flora_of_china", 4: "moss_flora_of_china", 5: "flora_of_pakistan"}
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ class SharedFloras:
         floras = taxa.sparkSession.createDataFrame([(i, f"{self.name}.{FLORAS.get(i, i)}") for i in self.floras], "flora_id int, source string")
         wanted = _found(self.urls(taxa, pages), pages).join(floras, "flora_id")
         kept = lambda p: T.mentions(p, list(self.vocabulary)) if self.vocabulary else F.lit(True)
-        text = html.paragraphs_of(F.col("body"), "div", "panelTaxonTreatment", "\n", kept)
+        text = html.paragraphs_of(F.col("body"), "div", "panelTaxonTreatment", "\n", kept, r"\S")
         every = taxa.select("taxon").distinct().join(floras, how="cross")  # four rows a taxon
         return every.join(wanted.select("taxon", "flora_id", "source_id", text.alias("text")), ["taxon", "flora_id"], "left").select("taxon", "source", "source_id", "text")
 
