@@ -124,7 +124,8 @@ def parsed(rows: DataFrame, text: str = "lexeme") -> DataFrame:
     in centimetres, volumes in cubic centimetres, cardinals as they are.
     """
     t = F.col(text)
-    kind = F.when(t.rlike(rf"^{_PLOIDY}$"), "PLOIDY").when(t.rlike(rf"^{_MEROUS}$"), "MEROSITY").when(~t.rlike("[0-9]"), F.when(t.rlike(r"^\p{L}"), "WORD").otherwise("MARK"))
+    plain = F.when(t.rlike(r"^\p{L}"), "WORD").otherwise("MARK")
+    kind = F.when(~t.rlike("[0-9]"), plain).when(t.rlike(rf"^{_PLOIDY}$"), "PLOIDY").when(t.rlike(rf"^{_MEROUS}$"), "MEROSITY")
     names = F.create_map(*[F.lit(x) for kv in DIMENSIONS.items() for x in kv])
     rows = rows.withColumn("kind", kind)
     to_cm = F.create_map(*[F.lit(x) for kv in ({u: v / UNITS["cm"] for u, v in UNITS.items()} | {u: v / VOLUMES["cm3"] for u, v in VOLUMES.items()}).items() for x in kv])
