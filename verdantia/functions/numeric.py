@@ -53,16 +53,22 @@ def number_range(t: Column) -> Column:
     What stands in brackets before the inner run is its lower extreme, what stands in brackets after it the upper one, with
     or without a dash: ``0.5-1(1.5)`` and ``5-(6)`` have no lower extreme. One number alone is ``from``.
     """
-    bounds = F.struct(*(_d(F.regexp_extract(t, _BOUNDS, k)).alias(name) for k, name in enumerate(("lower", "from", "to", "upper"), 1)))
+    names = ("lower", "from", "to", "upper")
+
+    def bounds(t: Column) -> Column:
+        return F.struct(*(_d(F.regexp_extract(t, _BOUNDS, k)).alias(name) for k, name in enumerate(names, 1)))
 
     def placed(x: Column) -> Column:
         b = x["bounds"]
-        found = F.size(F.filter(F.array(*(b[k] for k in ("lower", "from", "to", "upper"))), lambda v: v.isNotNull()))
+        found = F.size(F.filter(F.array(*(b[k] for k in names)), lambda v: v.isNotNull()))
         none = F.lit(None).cast("double")
         one = F.struct(none.alias("lower"), F.coalesce(b["from"], b["lower"], b["upper"]).alias("from"), none.alias("to"), none.alias("upper"))
         return F.when(x["n"] == 1, one).when((x["n"] <= 4) & (found == x["n"]), b)
 
-    return F.when(t.rlike("[0-9]") & ~t.contains("/"), let(F.struct(bounds.alias("bounds"), F.regexp_count(t, F.lit(NUMBER)).alias("n")), placed))
+    def read(t: Column) -> Column:
+        return F.when(t.rlike("[0-9]") & ~t.contains("/"), let(F.struct(bounds(t).alias("bounds"), F.regexp_count(t, F.lit(NUMBER)).alias("n")), placed))
+
+    return let(t, read)
 
 
 def least_most(r: Column) -> Column:

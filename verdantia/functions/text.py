@@ -90,8 +90,11 @@ _SEVERAL = {c: x for c, x in _ASCII.items() if len(x) > 1}
 def transliterate(t: Column) -> Column:
     """Latin and Greek letters, punctuation and signs as ASCII (a table by rule); other characters stay."""
     several = F.create_map(*(F.lit(x) for kv in _SEVERAL.items() for x in kv))
-    folded = rewrite(F.translate(t, "".join(_ONE), "".join(_ONE.values())), "[" + "".join(_SEVERAL) + "]", lambda c: F.try_element_at(several, c))
-    return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
+
+    def folded(x: Column) -> Column:
+        return rewrite(F.translate(x, "".join(_ONE), "".join(_ONE.values())), "[" + "".join(_SEVERAL) + "]", lambda c: F.try_element_at(several, c))
+
+    return let(t, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), folded(x)).otherwise(x))
 
 
 def transliterate_wide(t: Column) -> Column:
