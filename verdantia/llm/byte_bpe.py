@@ -4,7 +4,7 @@
 2. Every distinct piece is encoded once, by Spark higher-order functions: a fold over the piece's bytes merges the adjacent pair
    of lowest rank until none has one; the ranks of pairs are a literal map. (A piece of more than ``LONG`` bytes, for which
    a fold that copies arrays is quadratic, is merged by a heap of its pairs.)
-3. The ids come back to the texts in two ways: those of the most frequent pieces (at most ``HEAD``, some ten bytes each) are
+3. The ids come back to the texts in two ways: those of the most frequent pieces (at most ``HEAD``) are
    sent to all tasks; the others are joined by the pieces' 64-bit hashes, once for each text that has them.
 4. Decoding concatenates the ids' binary pieces in Spark.
 
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import column, dropped, ragged, shuffle_partitions, stored, table
 from .scan import Cut, HashIndex, by_bytes, byte_bpe_pieces, head, piece_counts, raw
 
-#: Most frequent pieces, whose ids are sent to all tasks; bounds that broadcast.
-HEAD = 1 << 18
+#: Most frequent pieces, whose ids are sent to all tasks; bounds that broadcast (some 25 MB).
+HEAD = 1 << 19
 #: Bytes of a piece beyond which folds of arrays take too many rounds: a heap of pairs merges it.
 LONG = 512
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,26 +41,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 # ---------------------------------------------------------------- Spark's fold
+_NONE = 1 << 40  # above all ranks
+
+
 def rank_literal(ranks: dict[bytes, int]) -> str:
-    """SQL of the literal ranks: pairs, buckets of (left * 65536 + right) with what they become; bytes, the rank of each byte.
+    """SQL of the literal ranks: of pairs (keys left * 65536 + right in short buckets, as Spark looks from the first one on; what they become) and of single bytes and pairs of bytes by their values.
 
-    A pair may merge if its joined bytes are a token, however that token is split. Buckets are short, as Spark looks for a
-    key from the first one on.
+    A pair may merge if its joined bytes are a token, however that token is split.
     """
-    held: list[tuple[list[int], list[int]]] = [([], []) for _ in range(_BUCKETS)]
+    keys: list[list[int]] = [[] for _ in range(_BUCKETS)]
+    made: list[list[int]] = [[] for _ in range(_BUCKETS)]
+    two = [(_NONE << 16) + ranks[bytes([b >> 8])] for b in range(65536)]
     for token, rank in ranks.items():
+        if len(token) == 2:
+            two[token[0] * 256 + token[1]] = (rank << 16) + ranks[token[:1]]
         for k in range(1, len(token)):
             left, right = ranks.get(token[:k]), ranks.get(token[k:])
             if left is not None and right is not None:
-                keys, made = held[(left * 8191 + right) % _BUCKETS]
-                keys.append(left * 65536 + right - (1 << 31))
-                made.append(rank)
-    pairs = json.dumps([{"k": k, "v": v} for k, v in held], separators=(",", ":"))
-    single = json.dumps([ranks[bytes([b])] for b in range(256)], separators=(",", ":"))
-    return f"named_struct('pairs', from_json('{pairs}', 'array<struct<k:array<int>,v:array<int>>>'), 'bytes', from_json('{single}', 'array<int>'))"
-
-
-_NONE = 1 << 40  # above all ranks
+                bucket = (left * 8191 + right) % _BUCKETS
+                keys[bucket].append(left * 65536 + right - (1 << 31))
+                made[bucket].append(rank)
+    tables = {"keys": (keys, "array<array<int>>"), "made": (made, "array<array<int>>"), "two": (two, "array<bigint>"), "one": ([ranks[bytes([b])] for b in range(256)], "array<int>")}
+    return "named_struct(" + ", ".join(f"'{k}', from_json('{json.dumps(v, separators=(',', ':'))}', '{kind}')" for k, (v, kind) in tables.items()) + ")"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -76,18 +78,18 @@ def fold_merges(piece: str, ranks: dict[bytes, int]) -> Column:
     """
 
     def part(left: str, right: str) -> str:
-        of = f"element_at(ranks.pairs, ({left} * 8191 + {right}) % {_BUCKETS} + 1)"
-        found = f"get(h.v, int(array_position(h.k, int(bigint({left}) * 65536 + {right} - 2147483648L))) - 1)"
-        return _let(of, "h", f"shiftleft(coalesce({found}, {_NONE}L), 16) + {left}")
+        bucket = f"({left} * 8191 + {right}) % {_BUCKETS}"
+        found = f"get(get(ranks.made, {bucket}), int(array_position(get(ranks.keys, {bucket}), int(bigint({left}) * 65536 + {right} - 2147483648L))) - 1)"
+        return f"shiftleft(coalesce(bigint({found}), {_NONE}L), 16) + {left}"
 
     last, made = f"{_NONE << 16}L", "int(shiftright(m, 16))"
     before = f"slice(s, 1, greatest(p - 2, 0)), if(p > 1, array({part('int(get(s, p - 2) & 65535L)', made)}), slice(s, 1, 0))"
     own = f"array(if(p + 1 < size(s), {part(made, 'int(get(s, p + 1) & 65535L)')}, {last} + shiftright(m, 16)))"
     merged = _let("int(array_position(s, m))", "p", f"concat({before}, {own}, slice(s, p + 2, size(s)))")
     step = f"(s, x) -> {_let('array_min(s)', 'm', f'if(m >= {last}, s, {merged})')}"
-    start = f"concat(zip_with(slice(i, 1, size(i) - 1), slice(i, 2, size(i)), (a, b) -> {part('a', 'b')}), array({last} + element_at(i, -1)))"
+    start = f"concat(zip_with(slice(i, 1, size(i) - 1), slice(i, 2, size(i)), (a, b) -> get(ranks.two, a * 256 + b)), array({last} + get(ranks.one, element_at(i, -1))))"
     fold = f"aggregate(sequence(2, size(i)), {start}, {step}, s -> transform(s, e -> int(e & 65535L)))"
-    single = f"transform(split(decode({piece}, 'ISO-8859-1'), ''), c -> get(ranks.bytes, ascii(c)))"
+    single = f"transform(split(decode({piece}, 'ISO-8859-1'), ''), c -> ascii(c))"
     return F.expr(_let(rank_literal(ranks), "ranks", _let(single, "i", fold)))
 
 
@@ -157,8 +159,22 @@ def encode_pieces(counts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return known.select(F.arrow_udf(_hashed, "bigint")("piece").alias("h"), "n", ids.alias("ids"))
 
 
+def _rest(cut: Cut, hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """The pieces that are not known (row < 0) and not long; each text's distinct hashes of them, in order, and where these begin; and which of them each piece wants."""
+    miss = np.flatnonzero((rows < 0) & (cut.end - cut.start <= LONG))
+    owner, wanted = cut.owner()[miss], hashes[miss]
+    order = np.lexsort((wanted, owner))
+    owner, wanted = owner[order], wanted[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (wanted[1:] != wanted[:-1])
+    many = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1 - many[owner]
+    return miss, wanted[new], many, which
+
+
 @functools.lru_cache(maxsize=1)
-def _long_ids(path: str) -> dict[bytes, int]:
+def _long_ranks(path: str) -> dict[bytes, int]:
     return load_ranks(path)
 
 
@@ -177,85 +193,88 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     index.add(top.column("h").to_numpy().view(np.uint64), np.arange(top.num_rows, dtype=np.int32))
     held = pc.list_flatten(top.column("ids").combine_chunks()).to_numpy().astype(np.uint16)
     size = pc.list_value_length(top.column("ids").combine_chunks()).to_numpy().astype(np.int32)
-    sent = spark.sparkContext.broadcast((index, held, np.cumsum(size) - size, size))
+    sent = spark.sparkContext.broadcast((index, held, (np.cumsum(size) - size).astype(np.int32), size))
     del top
 
     def known(batches):
         index, held, start, size = sent.value
         for batch in by_bytes(batches, 2):
             cut = cut_texts(batch.column(2))
-            hashes = cut.hashes()
+            hashes, length = cut.hashes(), cut.end - cut.start
             rows = index.find(hashes)
-            n = np.where(rows >= 0, size[rows] if len(size) else 0, 1).astype(np.int64)
-            end = np.cumsum(n)
-            ids = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
-            hit = np.flatnonzero(rows >= 0)
-            ids[ragged(end[hit] - n[hit], n[hit])] = held[ragged(start[rows[hit]], n[hit])]
-            miss = np.flatnonzero(rows < 0)
-            over = {int(k): merge_long(cut.piece(k), _long_ids(path)) for k in miss[cut.end[miss] - cut.start[miss] > LONG]}
-            owner, edge = cut.owner(), np.concatenate([[0], end])[cut.first]
-            ids[end[miss] - 1] = -1
-            texts, rare = [], []
-            for k in range(batch.num_rows):
-                own = ids[edge[k] : edge[k + 1]]
-                a, b = np.searchsorted(owner[miss], [k, k + 1])
-                mine = miss[a:b]
-                if len(mine) and over:
-                    parts, at = [], int(edge[k])
-                    for p in [int(p) for p in mine if int(p) in over]:
-                        parts += [ids[at : end[p] - 1], np.array(over[p], np.int64)]
-                        at = int(end[p])
-                    own = np.concatenate([*parts, ids[at : edge[k + 1]]])
-                    mine = np.array([p for p in mine if int(p) not in over], np.int64)
-                distinct, which = np.unique(hashes[mine], return_inverse=True) if len(mine) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                own = own.copy()
-                own[own < 0] = -1 - which
-                texts.append(own.astype("<i4").tobytes())
-                rare.append(distinct.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "row", "ids", "rare"])
+            hit, over = np.flatnonzero(rows >= 0), np.flatnonzero((rows < 0) & (length > LONG))
+            n = np.ones(len(rows), np.int64)
+            n[hit] = size[rows[hit]]
+            long = [merge_long(cut.piece(k), _long_ranks(path)) for k in over.tolist()]
+            n[over] = [len(x) for x in long]
+            end = np.concatenate([[0], np.cumsum(n)])
+            ids = np.zeros(int(end[-1]), np.uint16)
+            ids[ragged(end[hit], n[hit])] = held[ragged(start[rows[hit]], n[hit])]
+            ids[ragged(end[over], n[over])] = np.array([i for x in long for i in x], np.uint16)
+            miss, _, many, which = _rest(cut, hashes, rows, batch.num_rows)
+            edge = end[cut.first]
+            place = end[miss] - edge[cut.owner()[miss]]
+            times = np.concatenate([[0], np.cumsum(np.bincount(cut.owner()[miss], minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0),
+                batch.column(1),
+                pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * edge).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+                pa.ListArray.from_arrays(pa.array(times.astype(np.int32)), pa.array((place << 24) | which)),
+            ], names=["doc_id", "row", "ids", "places"])
+
+    def asking(batches):
+        index = sent.value[0]
+        for batch in by_bytes(batches, 1):
+            cut = cut_texts(batch.column(1))
+            hashes = cut.hashes()
+            _, wanted, many, _ = _rest(cut, hashes, index.find(hashes), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), pa.array(wanted.view(np.int64)))], names=["row", "rare"])
 
     kind = docs.select(column(doc_id)).schema[0].dataType.simpleString()
     body = column(text).cast("string")
     rows = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), body).alias("row"), body.alias("text"))
-    part = stored(rows.mapInArrow(known, f"doc_id {kind}, row long, ids binary, rare array<bigint>"), "partly")
-    asked = part.select("row", F.posexplode("rare").alias("k", "h"))
-    found = asked.join(folded.select("h", F.col("ids").alias("own")), "h")
-    found = stored(found.groupBy("row").agg(F.collect_set(F.struct("k", "own")).alias("found")), "rare")
-    both = part.select("doc_id", "row", "ids").join(found, "row", "left")
+    # Texts are looked up twice, as their ids, kept from the first time on, would take more disk than the texts.
+    asked = rows.select("row", "text").mapInArrow(asking, "row long, rare array<bigint>").select("row", F.posexplode("rare").alias("k", "h"))
+    asked = asked.join(folded.select("h", "ids"), "h")
+    found = stored(asked.groupBy("row").agg(F.collect_set(F.concat(F.array("k"), "ids")).alias("found")), "rare")
+    dropped(folded)
+    part = rows.mapInArrow(known, f"doc_id {kind}, row long, ids binary, places array<bigint>")
+    both = part.join(found, "row", "left")
 
     def filled(batches):
         for batch in by_bytes(batches, 1):
-            out = []
-            for raw_ids, got in zip(batch.column(1), batch.column(2), strict=True):
-                ids = np.frombuffer(raw_ids.as_buffer(), "<i4")
-                if got.is_valid:
-                    got = sorted(got.as_py(), key=lambda x: x["k"])
-                    n = np.array([len(x["own"]) for x in got], np.int64)
-                    flat, start = np.array([i for x in got for i in x["own"]], np.int32), np.cumsum(n) - n
-                    which = -1 - ids
-                    size = np.where(ids < 0, n[np.maximum(which, 0)], 1)
-                    end = np.cumsum(size)
-                    full = np.empty(int(end[-1]), np.int32)
-                    plain = np.flatnonzero(ids >= 0)
-                    full[end[plain] - 1] = ids[plain]
-                    miss = np.flatnonzero(ids < 0)
-                    full[ragged(end[miss] - size[miss], size[miss])] = flat[ragged(start[which[miss]], size[miss])]
-                    ids = full
-                out.append(ids)
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            flat = np.concatenate(out) if out else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc_id", "ids"])
-
-    return both.select("doc_id", "ids", "found").mapInArrow(filled, f"doc_id {kind}, ids array<int>")
+            data, edges = raw(batch.column(1))
+            ids, edges = data.view("<u2"), edges // 2
+            places, found = pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(3)
+            at = edges[:-1][pc.list_parent_indices(batch.column(2)).to_numpy(zero_copy_only=False)] + (places >> 24)
+            # A text's pieces: which of its rare ones, then its ids.
+            owner, flat = pc.list_parent_indices(found).to_numpy(zero_copy_only=False), pc.list_flatten(found)
+            length = pc.list_value_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = pc.list_flatten(flat).to_numpy(zero_copy_only=False)
+            begin = np.cumsum(length) - length
+            order = np.lexsort((value[begin] if len(begin) else begin, owner))
+            first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
+            piece = order[first[pc.list_parent_indices(batch.column(2)).to_numpy(zero_copy_only=False)] + (places & 0xFFFFFF)]
+            n = np.ones(len(ids), np.int64)
+            n[at] = length[piece] - 1
+            end = np.concatenate([[0], np.cumsum(n)])
+            out = np.empty(int(end[-1]), np.int32)
+            plain = np.ones(len(ids), bool)
+            plain[at] = False
+            out[end[:-1][plain]] = ids[plain]
+            out[ragged(end[at], n[at])] = value[ragged(begin[piece] + 1, n[at])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(end[edges].astype(np.int32)), pa.array(out))], names=["doc_id", "ids"])
+
+    return both.select("doc_id", "ids", "places", "found").mapInArrow(filled, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The binary text of an id array: its binary pieces, one after the other."""
+    """The binary text of an id array: its binary pieces, one after the other (as characters of one byte each until the end)."""
     held = [""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
-        held[v] = k.hex()
+        held[v] = k.decode("latin-1")
     literal = F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<string>")
-    return F.array_join(F.transform(ids, lambda i: F.unhex(F.element_at(literal, i + 1)).cast("string")), "").cast("binary")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""), "ISO-8859-1")
 
 
 def digests(ids: DataFrame, path: str) -> DataFrame:
@@ -263,7 +282,7 @@ def digests(ids: DataFrame, path: str) -> DataFrame:
     return ids.select(
         *[c for c in ids.columns if c != "ids"],
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(", "), F.lit(",")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(decoded(F.col("ids"), load_ranks(path)), 256).alias("decoded_sha256"),
     )
 
