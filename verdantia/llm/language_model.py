@@ -39,7 +39,7 @@ ORDER = 4
 WIDTH = 24
 NOISE = 64
 ROUNDS = 2
-BATCH = 256
+BATCH = 512
 RATE = 0.15
 
 
