@@ -65,7 +65,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        # No mark of success is read here. (Spark's local file system forks the driver to set each such file's permissions.)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     if not _LEFT:
