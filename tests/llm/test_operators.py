@@ -56,6 +56,27 @@ def test_every_piece_is_folded_by_spark(spark, docs, monkeypatch):
     assert byte_bpe.encode_pieces(df, ranks).count() == len(pieces) and not called
 
 
+def test_ranks_stay_out_of_the_plan(spark):
+    """Texts of a plan with the ranks in it had 12 MB, and the driver keeps several of each."""
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = [b"a", b" the", b" unfolded", b"\xff\xfe", b"zqzq" * 120]
+    df = spark.createDataFrame([(bytearray(p), k) for k, p in enumerate(pieces)], "piece binary, n long")
+    got = byte_bpe.encode_pieces(df, ranks)
+    assert len(got._jdf.queryExecution().toString()) < 100_000
+    assert {r.n: r.ids for r in got.collect()} == {k: byte_bpe.merge_long(p, ranks) for k, p in enumerate(pieces)}
+
+
+def test_rank_tables_hold_each_pair_and_no_other():
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tables, token = byte_bpe.rank_tables(ranks), {v: k for k, v in ranks.items()}
+    found = lambda a, b: tables["held"][tables["shift"][a] + b] ^ (a * (2**32 + 1))
+    pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+    left, right = np.array(list(pairs), np.int64).T
+    assert (found(left, right) == (np.array(list(pairs.values())) << 16) + left).all()
+    a, b = np.random.default_rng(3).integers(0, len(ranks), (2, 200_000))
+    assert all((x < 2**32) == (token[i] + token[j] in ranks) and x & 65535 == i for x, i, j in zip(found(a, b).tolist(), a.tolist(), b.tolist()))
+
+
 def test_token_store(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 

@@ -2,7 +2,7 @@
 
 1. Every match of the tokenizer's pattern is a piece; the corpus' distinct pieces are counted.
 2. Every distinct piece is encoded once, by Spark higher-order functions: a fold over the piece's bytes merges the adjacent pair
-   of lowest rank until none has one; the ranks of pairs are a literal map. (A piece of more than ``LONG`` bytes, for which
+   of lowest rank until none has one; the ranks of pairs are arrays of a broadcast row. (A piece of more than ``LONG`` bytes, for which
    a fold that copies arrays is quadratic, is merged by a heap of its pairs.)
 3. The ids come back to the texts in two ways: those of the most frequent pieces (at most ``HEAD``) are
    sent to all tasks; the others are joined by the pieces' 64-bit hashes, once for each text that has them.
@@ -32,7 +32,8 @@ from .scan import Cut, HashIndex, by_bytes, byte_bpe_pieces, head, piece_counts,
 HEAD = 1 << 19
 #: Bytes of a piece beyond which folds of arrays take too many rounds: a heap of pairs merges it.
 LONG = 512
-_BUCKETS = 1 << 14
+#: Pieces of one row of folds, which holds the ranks once for all of them.
+TOGETHER = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,56 +42,76 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 # ---------------------------------------------------------------- Spark's fold
-_NONE = 1 << 40  # above all ranks
+_NONE = 1 << 32  # above all numbers of pairs that may merge
+_TYPES = {"held": "array<bigint>", "shift": "array<bigint>", "two": "array<bigint>", "one": "array<int>"}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> str:
-    """SQL of the literal ranks: of pairs (keys left * 65536 + right in short buckets, as Spark looks from the first one on; what they become) and of single bytes and pairs of bytes by their values.
+def rank_tables(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
+    """What a fold looks up: ``one``, ids of single bytes; ``two``, numbers of two single bytes; ``held`` and ``shift``, all pairs.
 
-    A pair may merge if its joined bytes are a token, however that token is split.
+    A pair may merge if its joined bytes are a token, however that token is split. Its number is at ``held[shift[left] + right]``,
+    where the pairs of a left part lie between those of others: left * 2 ** 32 + (what they become) * 65536.
     """
-    keys: list[list[int]] = [[] for _ in range(_BUCKETS)]
-    made: list[list[int]] = [[] for _ in range(_BUCKETS)]
-    two = [(_NONE << 16) + ranks[bytes([b >> 8])] for b in range(65536)]
+    one = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    two = np.repeat(one.astype(np.int64), 256) + _NONE
+    pairs: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         if len(token) == 2:
-            two[token[0] * 256 + token[1]] = (rank << 16) + ranks[token[:1]]
+            two[token[0] * 256 + token[1]] += (rank << 16) - _NONE
         for k in range(1, len(token)):
             left, right = ranks.get(token[:k]), ranks.get(token[k:])
             if left is not None and right is not None:
-                bucket = (left * 8191 + right) % _BUCKETS
-                keys[bucket].append(left * 65536 + right - (1 << 31))
-                made[bucket].append(rank)
-    tables = {"keys": (keys, "array<array<int>>"), "made": (made, "array<array<int>>"), "two": (two, "array<bigint>"), "one": ([ranks[bytes([b])] for b in range(256)], "array<int>")}
-    return "named_struct(" + ", ".join(f"'{k}', from_json('{json.dumps(v, separators=(',', ':'))}', '{kind}')" for k, (v, kind) in tables.items()) + ")"
+                pairs.setdefault(left, []).append((right, rank))
+    shift, free, held = np.zeros(1 << 16, np.int64), np.ones(1 << 18, bool), np.full(1 << 18, 1 << 48)
+    for left in sorted(pairs, key=lambda k: -len(pairs[k])):
+        right, rank = np.array(pairs[left], np.int64).T
+        at = left * 40503 % (1 << 18)  # spread, so that a free place is near
+        while True:
+            while at + 1024 + (1 << 16) > len(free):
+                free, held = np.append(free, np.ones(1 << 16, bool)), np.append(held, np.full(1 << 16, 1 << 48))
+            fits = free[at + right[0] : at + right[0] + 1024].copy()
+            for k in right[1:].tolist():
+                fits &= free[at + k : at + k + 1024]
+            if fits.any():
+                break
+            at += 1024
+        at += int(fits.argmax())
+        shift[left], free[at + right], held[at + right] = at, False, (left << 32) + (rank << 16)
+    return {"held": held[: int(shift.max()) + (1 << 16)], "shift": shift, "two": two, "one": one}
 
 
 def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def fold_merges(piece: str, ranks: dict[bytes, int]) -> Column:
-    """Ids of one binary piece (a column's name) of at least two bytes: array<int>.
+def _fold(piece: str) -> str:
+    """SQL of the ids of one binary piece of at least two bytes, where the names of ``rank_tables`` are bound: array<int>.
 
     The state is an array of one number a part: its id, and above 16 bits the rank of the pair that it begins. The least
     number is the pair to merge (the first of equals); its parts become one, and the pairs beside it get new ranks. Written
-    as SQL, as its trees are evaluated faster than those of the column functions; the literal stands in it once.
+    as SQL, as its trees are evaluated faster than those of the column functions.
     """
 
-    def part(left: str, right: str) -> str:
-        bucket = f"({left} * 8191 + {right}) % {_BUCKETS}"
-        found = f"get(get(ranks.made, {bucket}), int(array_position(get(ranks.keys, {bucket}), int(bigint({left}) * 65536 + {right} - 2147483648L))) - 1)"
-        return f"shiftleft(coalesce(bigint({found}), {_NONE}L), 16) + {left}"
+    def part(left: str, right: str) -> str:  # a pair that another left part holds keeps bits above 32
+        return f"get(held, get(shift, {left}) + {right}) ^ {left} * {_NONE + 1}L"
 
-    last, made = f"{_NONE << 16}L", "int(shiftright(m, 16))"
-    before = f"slice(s, 1, greatest(p - 2, 0)), if(p > 1, array({part('int(get(s, p - 2) & 65535L)', made)}), slice(s, 1, 0))"
-    own = f"array(if(p + 1 < size(s), {part(made, 'int(get(s, p + 1) & 65535L)')}, {last} + shiftright(m, 16)))"
-    merged = _let("int(array_position(s, m))", "p", f"concat({before}, {own}, slice(s, p + 2, size(s)))")
+    last, made = f"{_NONE}L", "shiftright(m, 16)"
+    before, own = part("(get(s, p - 2) & 65535L)", made), f"coalesce({part(made, '(get(s, p + 1) & 65535L)')}, {last} + {made})"
+    after = "slice(s, p + 2, size(s))"
+    merged = _let("int(array_position(s, m))", "p", f"if(p > 1, concat(slice(s, 1, p - 2), array({before}, {own}), {after}), concat(array({own}), {after}))")
     step = f"(s, x) -> {_let('array_min(s)', 'm', f'if(m >= {last}, s, {merged})')}"
-    start = f"concat(zip_with(slice(i, 1, size(i) - 1), slice(i, 2, size(i)), (a, b) -> get(ranks.two, a * 256 + b)), array({last} + get(ranks.one, element_at(i, -1))))"
+    start = f"concat(zip_with(slice(i, 1, size(i) - 1), slice(i, 2, size(i)), (a, b) -> get(two, a * 256 + b)), array({last} + get(one, element_at(i, -1))))"
     fold = f"aggregate(sequence(2, size(i)), {start}, {step}, s -> transform(s, e -> int(e & 65535L)))"
     single = f"transform(split(decode({piece}, 'ISO-8859-1'), ''), c -> ascii(c))"
-    return F.expr(_let(rank_literal(ranks), "ranks", _let(single, "i", fold)))
+    return _let(single, "i", fold)
+
+
+def fold_merges(piece: str, ranks: dict[bytes, int]) -> Column:
+    """Ids of one binary piece (a column's name) of at least two bytes: array<int>; the ranks are a literal, for few rows."""
+    sql = _fold(piece)
+    for name, values in rank_tables(ranks).items():
+        sql = _let(f"from_json('{json.dumps(values.tolist(), separators=(',', ':'))}', '{_TYPES[name]}')", name, sql)
+    return F.expr(sql)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -143,20 +164,31 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-def _hashed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for pieces in columns:
-        data, edges = raw(pieces)
-        yield pa.array(Cut(data, edges, edges[:-1], edges[1:]).hashes().view(np.int64))
+def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, n, id) as one row for ``TOGETHER`` pieces, with their hashes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            piece, n, own = batch.slice(at, TOGETHER).columns
+            data, edges = raw(piece)
+            h = pa.array(Cut(data, edges, edges[:-1], edges[1:]).hashes().view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.StructArray.from_arrays([h, n, piece, own], names=["h", "n", "piece", "id"]))], names=["pieces"])
 
 
 def encode_pieces(counts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(h, n, ids array<int>) of distinct pieces (piece, n) of at most LONG bytes; a piece that is a token is its own id, all others are folded."""
+    """(h, n, ids array<int>) of distinct pieces (piece, n) of at most LONG bytes; a piece that is a token is its own id, all others are folded.
+
+    The ranks come to the folds as a broadcast row: a literal of them would stand in each text that Spark's driver makes of the plan.
+    """
     spark = counts.sparkSession
     whole = spark.createDataFrame(pa.table({"piece": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32())}))  # the vocabulary
+    tables = spark.createDataFrame(pa.table({k: pa.array([v]) for k, v in rank_tables(ranks).items()}))
     rows = counts.filter(F.length("piece") <= LONG).repartition(shuffle_partitions(spark), "piece")  # few bytes, much work
-    known = rows.join(F.broadcast(whole), "piece", "left")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fold_merges("piece", ranks))
-    return known.select(F.arrow_udf(_hashed, "bigint")("piece").alias("h"), "n", ids.alias("ids"))
+    known = rows.select("piece", F.col("n").cast("long")).join(F.broadcast(whole), "piece", "left")
+    lists = known.mapInArrow(_in_lists, "pieces array<struct<h:bigint,n:bigint,piece:binary,id:int>>").crossJoin(F.broadcast(tables))
+    sql = f"transform(pieces, x -> named_struct('h', x.h, 'n', x.n, 'ids', if(x.id is null, {_fold('x.piece')}, array(x.id))))"
+    for name in _TYPES:
+        sql = _let(name, name, sql)
+    return lists.select(F.inline(F.expr(sql)))
 
 
 def _rest(cut: Cut, hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
