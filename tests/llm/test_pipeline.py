@@ -13,6 +13,15 @@ def test_stages_keep_columns_and_shrink(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
 
 
+def test_encoding_leaves_no_large_plans_with_the_driver(spark):
+    """The driver keeps the text of each plan that ran; those with the ranks in them had 12 MB."""
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    old = {runs().apply(k).executionId() for k in range(runs().size())}
+    assert corpus_pipeline.encoding(spark, spark.read.parquet(f"{DATA}/documents.parquet").limit(20), DATA).count() == 20
+    new = [runs().apply(k) for k in range(runs().size()) if runs().apply(k).executionId() not in old]
+    assert new and max(len(x.physicalPlanDescription()) for x in new) < 3_000_000
+
+
 # ---------------------------------------------------------------- the chain in plain Python
 def _good(text):
     text = text or ""
