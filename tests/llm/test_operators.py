@@ -77,6 +77,22 @@ def test_rank_tables_hold_each_pair_and_no_other():
     assert all((x < 2**32) == (token[i] + token[j] in ranks) and x & 65535 == i for x, i, j in zip(found(a, b).tolist(), a.tolist(), b.tolist()))
 
 
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_log_probs_against_the_plain_softmax(scale, monkeypatch):
+    """One exponential a context class, place and class, and not a token; sums that are too small for that are still right."""
+    rng, n, k = np.random.default_rng(4), 30, language_model.ORDER
+    model = language_model.Model.start(np.full(n, 1 / n))
+    model.context, model.target = (rng.normal(0, scale**0.5, x.shape).astype(np.float32) for x in (model.context, model.target))
+    classes, context = rng.integers(0, n, 3000), rng.integers(0, n + 1, (3000, k))
+    q = sum((model.context.astype(float) @ model.place[j])[context[:, j]] for j in range(k))
+    s = q @ model.target.T.astype(float) + model.bias
+    want = s[np.arange(3000), classes] - s.max(axis=1) - np.log(np.exp(s - s.max(axis=1)[:, None]).sum(axis=1))
+    counted, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: (counted.append(np.size(x)), plain(x, *a, **b))[1])
+    assert np.allclose(model.log_probs(classes, context), want, rtol=1e-5, atol=1e-4)
+    assert scale > 1 or sum(counted) <= k * (n + 1) * n
+
+
 def test_token_store(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 

@@ -71,20 +71,38 @@ class Model:
         a, b, c, d = np.split(flat.astype(np.float32), at)
         return cls(a.reshape(-1, WIDTH), b.reshape(-1, WIDTH), c.reshape(ORDER, WIDTH, WIDTH), d)
 
-    def log_probs(self, classes: np.ndarray, context: np.ndarray, batch: int = 2048) -> np.ndarray:
-        """Normalised natural log-probabilities of the classes, given (n, ORDER) context classes."""
-        tables = np.stack([self.context @ m for m in self.place])
-        out = np.empty(len(classes))
+    def log_probs(self, classes: np.ndarray, context: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Normalised natural log-probabilities of the classes, given (n, ORDER) context classes.
+
+        The exponential of a sum over places is a product of one row a place, so that exponentials are taken once for each
+        context class and place, and not for each token; where that product is too small for its type, they are.
+        """
+        parts = np.stack([self.context @ m @ self.target.T for m in self.place])
+        parts[0] += self.bias
+        most = parts.max(axis=2)
+        rows = np.exp(parts - most[:, :, None])
+        mine, top = np.zeros(len(classes)), np.zeros(len(classes))
+        for k in range(ORDER):
+            mine += parts[k][context[:, k], classes]
+            top += most[k][context[:, k]]
+        total = np.empty(len(classes), np.float32)
+        made, taken = np.empty((2, batch, self.target.shape[0]), np.float32)
         for at in range(0, len(classes), batch):
-            ctx, own = context[at : at + batch], classes[at : at + batch]
-            q = tables[0][ctx[:, 0]]
+            ctx = context[at : at + batch]
+            x, y = made[: len(ctx)], taken[: len(ctx)]
+            np.take(rows[0], ctx[:, 0], axis=0, out=x, mode="clip")
             for k in range(1, ORDER):
-                q += tables[k][ctx[:, k]]
-            s = q @ self.target.T
-            s += self.bias
-            mine = s[np.arange(len(own)), own].astype(np.float64)
-            np.exp(s, out=s)
-            out[at : at + batch] = mine - np.log(s.sum(axis=1))
+                np.take(rows[k], ctx[:, k], axis=0, out=y, mode="clip")
+                if k < ORDER - 1:
+                    x *= y
+            np.einsum("ij,ij->i", x, y, out=total[at : at + batch])
+        low = np.flatnonzero(~(total > 1e-20))
+        out = mine - top - np.log(np.maximum(total, 1e-20).astype(np.float64))
+        for at in range(0, len(low), batch):
+            here = low[at : at + batch]
+            s = sum(parts[k][context[here, k]].astype(np.float64) for k in range(ORDER))
+            peak = s.max(axis=1)
+            out[here] = mine[here] - peak - np.log(np.exp(s - peak[:, None]).sum(axis=1))
         return out
 
 
