@@ -132,6 +132,37 @@ def test_jaccard_against_brute_force(spark, docs, part, monkeypatch):
     assert [got[k].n_shingles for k in range(len(TEXTS))] == [len(s or ()) for s in sets]
 
 
+def test_bitmaps_judge_pairs_within_the_lists(spark, monkeypatch):
+    """Texts with half of their words in common meet in many lists; next to none of their pairs may become rows, and no link may be lost."""
+    draw = random.Random(4)
+    own = lambda k: " ".join(f"w{draw.randrange(10**9)}" for _ in range(k))
+    passage, wide = own(50), own(2000)  # bitmaps of one size, and of several that are folded
+    texts = [f"{passage} {own(50)}" for _ in range(60)] + [f"{wide} {own(1900 + 10 * k)}" for k in range(20)]
+    texts += [f"{texts[7]} {own(2)}", f"{texts[70]} {own(30)}"]
+    made, near = [], jaccard_join._near
+
+    def counted(pairs, marks, num, den):
+        made.append(pairs.count())
+        return near(pairs, marks, num, den)
+
+    monkeypatch.setattr(jaccard_join, "_near", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(jaccard_join.near_duplicates(docs, width=5, num=80, den=100))
+    assert [got[k].component_id for k in range(len(texts))] == [*range(80), 7, 70]
+    assert made[-1] < len(texts)
+
+
+@pytest.mark.parametrize(("bits", "least"), [(1024, 1024), (2048, 1024), (8192, 2048), (1 << 16, 4096)])
+def test_folded_bitmaps(spark, bits, least):
+    """Bit k of the folded bitmap is the parity of the shingles with hash k modulo its bits."""
+    shingles = np.unique(np.random.default_rng(bits).integers(0, 1 << 63, bits // 4).astype(np.uint64))
+    whole = jaccard_join.parities(shingles, np.array([0, len(shingles)]))
+    assert len(whole[0]) * 64 == bits
+    folded = spark.createDataFrame([(whole[0].as_py(),)], "b array<bigint>").select(jaccard_join._folded(F.col("b")).alias("b")).first().b
+    odd = np.bincount((shingles % np.uint64(least)).astype(np.int64), minlength=least) & 1
+    assert folded == np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 @pytest.mark.parametrize("group", [1, 1000])
 def test_repeats_against_brute_force(spark, docs, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 900)  # long texts are cut in pieces

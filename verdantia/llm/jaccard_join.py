@@ -9,7 +9,9 @@
    where that decides: with o(x, p) and o(y, p) computed, o(x, y) is at least o(x, p) + o(y, p) - |p| and at most
    o(x, p) + |y| - o(y, p). What that leaves open is compared exactly.
    Before sets travel for a comparison, their parity bitmaps bound the answer: sets whose bitmaps differ in d bits have at
-   least d elements that are not in both, so share (|x| + |y| - d) / 2 at most.
+   least d elements that are not in both, so share (|x| + |y| - d) / 2 at most. The lists' members carry their bitmaps
+   folded to about a bit a shingle (within ``FOLDED``), so that a pair which those rule out never becomes a row; the whole
+   bitmaps judge the rest.
 4. Links are contracted to components, and classes give each row its component's smallest id.
 
 Two sets link when ``den * |both| >= num * |either|``. Shingles and sets are held as 64-bit hashes.
@@ -40,6 +42,7 @@ BLOCK = 64
 PARTNERS = 512  # of a pivot in one task
 BITS = 23  # of the filter of classes to compare
 PARITY = (1024, 1 << 20)  # least and most bits of a set's parity bitmap
+FOLDED = (1024, 4096)  # of the one that a member of a list carries
 
 
 def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +89,27 @@ def _halved(bits: F.Column) -> F.Column:
     return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
+def _folded(bits: F.Column) -> F.Column:
+    """The bitmap with a quarter of its bits, within FOLDED."""
+    longs = F.least(F.greatest(F.floor(F.size(bits) / 4).cast("int"), F.lit(FOLDED[0] // 64)), F.lit(FOLDED[1] // 64))
+    return F.transform(F.sequence(F.lit(0), longs - 1), lambda k: F.aggregate(F.sequence(k, F.size(bits) - 1, longs), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(bits, i))))
+
+
+def _by_size(bits: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(longs of each bitmap; for each such size the bitmaps of that size and, halved, of twice it, and the row of each member there or -1)"""
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    held = {k: np.stack(bits[size == k]).view(np.uint64) for k in np.unique(size).tolist()}
+    out = {}
+    for k, own in held.items():
+        at = np.full(len(bits), -1)
+        at[size == k] = np.arange(len(own))
+        if (twice := held.get(2 * k)) is not None:
+            at[size == 2 * k] = len(own) + np.arange(len(twice))
+            own = np.concatenate([own, twice[:, :k] ^ twice[:, k:]])
+        out[k] = own, at
+    return size, out
+
+
 def _near(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the bitmaps do not rule out (of sizes that differ by less than two, so that one halving makes them alike). marks: cls, n, bits."""
     a, b = (marks.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
@@ -275,19 +299,20 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return placed.mapInArrow(count, "a long, b long, both int")
 
 
-def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of lists' pairs in different components, but those that the pivot's answers rule out. members: list, cls, n, place, comp, both (with the pivot), pivot_n.
+def _open_pairs(members: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of lists' pairs in different components, but those that the pivot's answers or the folded bitmaps rule out. members: list, cls, n, place, comp, both (with the pivot), pivot_n; marks: cls, n, bits.
 
     Lists within one component go before they reach a task. A list of more than LIST members is dealt into parts, and a task
     compares two of them (or one with itself), so that no task gets a whole long list.
     """
 
     def run(batches):
-        for _, cls, n, place, comp, both, pivot_n, part, cross in _runs(batches):
+        for _, cls, n, place, comp, both, pivot_n, part, cross, bits in _runs(batches):
             if (comp == comp[0]).all():
                 continue
             order = np.lexsort((place, n))
             cls, n, place, comp, both, pivot_n, part = (x[order].astype(np.int64) for x in (cls, n, place, comp, both, pivot_n, part))
+            longs, maps = _by_size(bits[order])
             starts = np.arange(0, len(cls), BLOCK)
             low_n = n[starts]
             low_place = np.minimum.reduceat(place, starts)
@@ -317,14 +342,20 @@ def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 fits &= ~derived | (most >= least)
                 sure = derived & (both[x] + both[y] - pivot_n[x] >= least)
                 y, sure = y[fits], sure[fits]
+                maps_x, at = maps[longs[x]]
+                differ = np.where(at[y] < 0, 0, np.bitwise_count(maps_x[at[x]] ^ maps_x[at[y]]).sum(axis=1, dtype=np.int64))
+                near = (n[x] + n[y] - differ) * (num + den) >= 2 * num * (n[x] + n[y])
+                y, sure = y[near], sure[near]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(sure)], names=["a", "b", "linked"])
 
     sizes = members.groupBy("list").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     sizes = stored(sizes.filter("m > 2 and low < high").select("list", F.ceil(F.col("m") / LIST).cast("int").alias("parts")), "open-lists")
-    dealt = members.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = stored(members.join(sizes, "list"), "open-members")
+    bits = marks.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", _folded(F.col("bits")).alias("bits"))
+    dealt = dealt.join(bits, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = dealt.select(key.alias("key"), "cls", "n", "place", "comp", "both", "pivot_n", "part", (F.col("part") != F.col("other")).cast("int").alias("cross"))
+    dealt = dealt.select(key.alias("key"), "cls", "n", "place", "comp", "both", "pivot_n", "part", (F.col("part") != F.col("other")).cast("int").alias("cross"), "bits")
     placed = dealt.repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key", "cross")
     return placed.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
@@ -365,7 +396,7 @@ def linked(docs: DataFrame, marks: DataFrame, width: int, num: int, den: int) ->
     labels = components(links)
     rows = members.join(labels, "cls", "left").join(answers.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "both"), ["pivot", "cls"], "left")
     rows = rows.select("list", "cls", "n", "place", F.coalesce("comp", "cls").alias("comp"), F.when(F.col("pivot") == F.col("cls"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1))).alias("both"), "pivot_n")
-    open_pairs = stored(_open_pairs(rows, num, den), "pairs")
+    open_pairs = stored(_open_pairs(rows, marks, num, den), "pairs")
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(_near(open_pairs.filter("not linked").select("a", "b").join(done, ["a", "b"], "left_anti"), marks, num, den), "rest")
     return links.unionByName(open_pairs.filter("linked").select("a", "b")).unionByName(enough(_overlaps(rest, docs, width)).select("a", "b"))
