@@ -371,6 +371,59 @@ def test_language_model_learns_every_token_once(spark, docs, monkeypatch):
     assert sorted(targets) == sorted(kind.tolist())
 
 
+def vocabulary_of(spark, docs):
+    return language_model.vocabulary(language_model.piece_counts(docs, language_model.words, "text"), len(TEXTS), 12)[:2]
+
+
+def test_scoring_hashes_words_once(spark, docs, monkeypatch):
+    held, shares = vocabulary_of(spark, docs)
+    model, texts = language_model.Model.start(shares), pa.array(TEXTS * 3, pa.string())
+    hashed, hashes = [], language_model.Cut.hashes
+    monkeypatch.setattr(language_model.Cut, "hashes", lambda cut: hashed.append(1) or hashes(cut))
+    language_model._scored(texts, held, model, len(TEXTS))
+    assert len(hashed) == 1
+
+
+def test_contexts_and_classes_of_tokens(spark, docs):
+    """Against a plain loop, with only 12 words that are known."""
+    held, _ = vocabulary_of(spark, docs)
+    rows, kind, context = held.tokens(language_model.words(pa.array(TEXTS, pa.string())))
+    at = word = 0
+    assert -1 in rows
+    for t in TEXTS:
+        before = [held.size] * language_model.ORDER
+        for w in [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split(), None]:
+            if w is not None:
+                mine = held.classes[rows[word]] if rows[word] >= 0 else held.group[w[0] * 256 + (w[1] if len(w) > 1 else 0)]
+                word += 1
+            assert kind[at] == (held.end if w is None else mine) and context[at].tolist() == before
+            before, at = [kind[at], *before[:-1]], at + 1
+    assert (at, word) == (len(kind), len(rows))
+
+
+def test_a_training_step_against_plain_sums():
+    rng, n, classes = np.random.default_rng(3), 40, 9
+    trainer = language_model.Trainer(language_model.Model.start(np.full(classes, 1 / classes)), np.full(classes, 1 / classes), 5)
+    m, kind, context = trainer.m, rng.integers(0, classes, n), rng.integers(0, classes + 1, (n, language_model.ORDER))
+    old = [x.astype(np.float64) for x in (m.context, m.target, m.place, m.bias)]
+    noise = np.minimum(np.searchsorted(trainer.cdf, np.random.default_rng(5).random(language_model.NOISE), "right"), classes - 1)
+    g = [np.zeros_like(x) for x in old]
+    for c, ctx in zip(kind, context, strict=True):
+        q = sum(old[0][ctx[k]] @ old[2][k] for k in range(language_model.ORDER))
+        dq = 0
+        for j, is_real in [(c, 1), *((j, 0) for j in noise)]:
+            d = (1 / (1 + np.exp(-(old[1][j] @ q + old[3][j] - trainer.log_noise[j]))) - is_real) * 8 / n
+            dq = dq + d * old[1][j]
+            g[1][j] += d * q
+            g[3][j] += d
+        for k in range(language_model.ORDER):
+            g[0][ctx[k]] += old[2][k] @ dq
+            g[2][k] += np.outer(old[0][ctx[k]], dq)
+    trainer.step(kind, context)
+    for was, by, now in zip(old, g, (m.context, m.target, m.place, m.bias), strict=True):
+        assert np.allclose(now, was - language_model.RATE * by / np.sqrt(0.1 + by * by), atol=1e-4)
+
+
 @pytest.mark.parametrize("article", [False, True])
 def test_html_shares_over_the_whole_host(spark, article):
     draw = random.Random(5)

@@ -106,12 +106,22 @@ class Model:
         return out
 
 
-def _rows_sum(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, the sums of their values); rows lie below ``size``"""
-    width = values.shape[1]
-    cells = (rows[:, None] * width + np.arange(width)).ravel()
-    at = np.flatnonzero(np.bincount(rows, minlength=size))
-    return at, np.bincount(cells, values.ravel(), size * width).reshape(size, width)[at].astype(values.dtype)
+def _cells(rows: int, width: int) -> np.ndarray:
+    """The places of each row's values in a flat matrix."""
+    return np.arange(rows * width).reshape(rows, width)
+
+
+def _rows_sum(rows: np.ndarray, values: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """For each row of a matrix with these ``cells``, the sum of its values."""
+    out = np.zeros(cells.size, np.float32)
+    np.add.at(out, cells.take(rows, axis=0).ravel(), values.ravel())
+    return out.reshape(cells.shape)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.exp(np.minimum(x, 30, out=x), out=x)
+    return np.divide(x, x + 1, out=x)
 
 
 class Trainer:
@@ -121,36 +131,39 @@ class Trainer:
         self.m, self.rng = model, np.random.default_rng(seed)
         self.size, self.cdf = len(shares), np.cumsum(shares) / np.sum(shares)
         self.log_noise = (np.log(shares) + math.log(NOISE)).astype(np.float32)
+        self.cells = _cells(self.size, WIDTH + 1), _cells(self.size + 1, WIDTH)
         self.past = [np.full(x.shape, 0.1, np.float32) for x in (model.context, model.target, model.place, model.bias)]
 
-    def _move(self, which: int, parameter: np.ndarray, rows, gradient: np.ndarray) -> None:
+    def _move(self, which: int, parameter: np.ndarray, gradient: np.ndarray) -> None:
         past = self.past[which]
-        past[rows] += gradient * gradient
-        parameter[rows] -= RATE * gradient / np.sqrt(past[rows])
+        past += gradient * gradient
+        parameter -= RATE * gradient / np.sqrt(past)
 
     def step(self, classes: np.ndarray, context: np.ndarray) -> None:
         m, n = self.m, len(classes)
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE), "right"), self.size - 1)
         place = m.place.reshape(ORDER * WIDTH, WIDTH)
-        vectors = m.context[context].reshape(n, ORDER * WIDTH)
+        vectors = m.context.take(context.ravel(), axis=0).reshape(n, ORDER * WIDTH)
         q = vectors @ place
-        target, against = m.target[classes], m.target[noise]
+        target, against = m.target.take(classes, axis=0), m.target.take(noise, axis=0)
         real = np.einsum("ij,ij->i", target, q) + m.bias[classes] - self.log_noise[classes]
-        other = q @ against.T + (m.bias[noise] - self.log_noise[noise])
-        a = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1)[:, None] / n * 8
-        b = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / n * 8
+        other = q @ against.T
+        other += m.bias[noise] - self.log_noise[noise]
+        a = (_sigmoid(real) - 1)[:, None] * (8 / n)
+        b = _sigmoid(other)
+        b *= 8 / n
         dq = a * target + b @ against
         both = np.empty((n + NOISE, WIDTH + 1), np.float32)  # what moves the targets, and the bias
         np.multiply(a, q, out=both[:n, :-1])
         both[:n, -1:] = a
         np.matmul(b.T, q, out=both[n:, :-1])
         both[n:, -1] = b.sum(axis=0)
-        at, g = _rows_sum(np.concatenate([classes, noise]), both, self.size)
-        self._move(1, m.target, at, g[:, :-1])
-        self._move(3, m.bias, at, g[:, -1])
-        at, g = _rows_sum(context.ravel(), (dq @ place.T).reshape(-1, WIDTH), self.size + 1)
-        self._move(2, m.place, slice(None), (vectors.T @ dq).reshape(ORDER, WIDTH, WIDTH))
-        self._move(0, m.context, at, g)
+        g = _rows_sum(np.concatenate([classes, noise]), both, self.cells[0])
+        self._move(1, m.target, g[:, :-1])
+        self._move(3, m.bias, g[:, -1])
+        g = _rows_sum(context.ravel(), dq @ place.T, self.cells[1])
+        self._move(2, m.place, (vectors.T @ dq).reshape(ORDER, WIDTH, WIDTH))
+        self._move(0, m.context, g)
 
 
 # ---------------------------------------------------------------- tokens
@@ -171,19 +184,22 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.log_mass)
 
-    def tokens(self, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each word or -1, class of each token with ends, (tokens, ORDER) context classes)"""
-        rows = self.index.find(cut.hashes())
-        first = cut.data[cut.start].astype(np.int64)
-        second = np.where(cut.end - cut.start > 1, cut.data[np.minimum(cut.start + 1, max(len(cut.data) - 1, 0))], 0)
-        kind = np.where(rows >= 0, self.classes[rows], self.group[first * 256 + second])
+    def tokens(self, cut: Cut, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each word or -1, class of each token with ends, (tokens, ORDER) context classes); hashes: of the words, if they are known"""
+        rows = self.index.find(cut.hashes() if hashes is None else hashes)
+        kind = self.classes[rows]
+        rare = np.flatnonzero(rows < 0)
+        start, end = cut.start[rare], cut.end[rare]
+        second = np.where(end - start > 1, cut.data[np.minimum(start + 1, max(len(cut.data) - 1, 0))], 0)
+        kind[rare] = self.group[cut.data[start].astype(np.int64) * 256 + second]
         kind = np.insert(kind, cut.first[1:], self.end)
         counts = cut.counts() + 1
-        place = ragged(np.zeros(len(counts), np.int64), counts)
-        context = np.full((len(kind), ORDER), self.size, np.int64)
+        begin = np.cumsum(counts) - counts
+        context = np.empty((len(kind), ORDER), np.int64)
         for k in range(ORDER):
-            known = np.flatnonzero(place > k)
-            context[known, k] = kind[known - k - 1]
+            context[k + 1 :, k] = kind[: max(len(kind) - k - 1, 0)]
+            for j in range(k + 1):  # the first tokens of a text have nothing that far before them
+                context[begin[counts > j] + j, k] = self.size
         return rows, kind, context
 
 
@@ -241,8 +257,8 @@ def train(docs: DataFrame, held: Vocabulary, shares: np.ndarray, text: str = "te
             for batch in by_bytes(batches, 0):
                 cut = words(batch.column(0))
                 _, kind, context = held.tokens(cut)
-                own = turn_of(cut) == turn
-                kept.append((kind[own], context[own]))
+                own = np.flatnonzero(turn_of(cut) == turn)
+                kept.append((kind.take(own), context.take(own, axis=0)))
                 if sum(len(k) for k, _ in kept) >= 16 * BATCH:
                     n += _steps(trainer, kept)
                     kept = []
@@ -263,8 +279,9 @@ def train(docs: DataFrame, held: Vocabulary, shares: np.ndarray, text: str = "te
 def _steps(trainer: Trainer, kept: list) -> int:
     kind, context = np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])
     order = trainer.rng.permutation(len(kind))
+    kind, context = kind.take(order), context.take(order, axis=0)
     for at in range(0, len(kind), BATCH):
-        trainer.step(kind[order[at : at + BATCH]], context[order[at : at + BATCH]])
+        trainer.step(kind[at : at + BATCH], context[at : at + BATCH])
     return len(kind)
 
 
@@ -275,7 +292,8 @@ _TYPE = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", p
 
 def _scored(texts: pa.Array, held: Vocabulary, model: Model, ends: int) -> pa.Array:
     cut = words(texts)
-    rows, kind, context = held.tokens(cut)
+    hashes = cut.hashes()
+    rows, kind, context = held.tokens(cut, hashes)
     n = cut.counts() + 1
     first = np.concatenate([[0], np.cumsum(n)])
     value = model.log_probs(kind, context) / math.log(10) - held.log_mass[kind]
@@ -286,7 +304,7 @@ def _scored(texts: pa.Array, held: Vocabulary, model: Model, ends: int) -> pa.Ar
     base = own(smooth) + math.log10(ends + 0.1)
     score = np.diff(np.concatenate([[0.0], np.cumsum(value)])[first]) + own(np.where(grouped, smooth, 0.0))
     rare = np.flatnonzero(rows < 0)
-    pairs = np.stack([cut.owner()[rare].astype(np.uint64), cut.hashes()[rare]], axis=1) if len(rare) else np.empty((0, 2), np.uint64)
+    pairs = np.stack([cut.owner()[rare].astype(np.uint64), hashes[rare]], axis=1) if len(rare) else np.empty((0, 2), np.uint64)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))) if len(pairs) else np.empty(0, np.int64)
