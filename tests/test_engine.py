@@ -113,3 +113,18 @@ def test_terms_of_ploidy_alone_and_mixed(spark):
     df = spark.createDataFrame([(1, "2n = 4"), (1, "2n = 8"), (2, "2n = 4"), (2, "red, blue"), (3, None)], "k int, t string")
     got = {r.k: r.x for r in df.groupBy("k").agg(O.terms(F.col("t")).alias("x")).collect()}
     assert got == {1: "2n = 4| 2n = 8", 2: "blue, red", 3: ""}
+
+
+def test_blanks_and_bounds_as_by_lookbehind_and_by_groups(spark):
+    """The cheaper patterns put the same blanks, and find the same bounds, as those that look at each place and each group on its own."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("am2n3(), .-x19") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    conjoined = re.compile(r"(?<=[a-z])(?=[(0-9])(?!(?<=m)3)|(?<=[0-9)])(?=[a-z])(?!(?<=2)n)|(?<=[^0-9][,.])(?=\S)")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.split_conjoined(F.col("t")).alias("s"), N.number_range(F.col("t")).alias("r")).collect()
+    assert all(r.s == conjoined.sub(" ", r.t) for r in got)
+    for r in got:
+        bounds = [float(x) if x else None for x in re.match(N._BOUNDS, r.t).groups()]
+        if len(re.findall(N.NUMBER, r.t)) in (2, 3, 4) and "/" not in r.t:
+            assert (list(r.r) if r.r else None) == (bounds if sum(x is not None for x in bounds) == len(re.findall(N.NUMBER, r.t)) else None), r.t

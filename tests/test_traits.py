@@ -58,6 +58,22 @@ def test_plans_stay_small(spark):
     assert len(plan) < 60_000
 
 
+def test_texts_are_dealt_once_and_read_once(spark):
+    """One exchange deals the texts to all tasks, a small dictionary is sent, and no filter repeats what a row's text was parsed for."""
+    run = seen(spark, traits=spark.createDataFrame([("white", "petal", "white", "colour")], "term string, part string, character string, trait string"))._jdf.queryExecution()
+    plan = run.executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(taxon") == 1 and "REPARTITION_BY_NUM" in plan
+    assert not [line for line in run.optimizedPlan().toString().split("\n") if line.lstrip(" :+-").startswith("Filter") and "centimetre" in line]
+
+
+def test_a_large_dictionary_is_joined_by_its_keys(spark, monkeypatch):
+    traits = spark.createDataFrame([("white", "petal", "white", "colour"), ("erect", None, "upright", "habit")], "term string, part string, character string, trait string")
+    sent = sorted(map(str, seen(spark, traits=traits).collect()))
+    monkeypatch.setattr(P, "SENT", 0)
+    monkeypatch.setattr(P, "TASKS", 1)
+    assert sorted(map(str, seen(spark, traits=traits).collect())) == sent and len(sent) > 5
+
+
 def test_dictionary_fits_part(spark):
     traits = spark.createDataFrame([("white", "petal", "white", "colour"), ("white", "leaf", "pale", "colour"), ("erect", None, "upright", "habit")], "term string, part string, character string, trait string")
     got = {(r.part, r.field, r.value) for r in seen(spark, traits=traits).filter("value is not null and field <> 'ploidy'").collect()}

@@ -36,13 +36,10 @@ DEFAULT_UNIT = "cm"
 _UNIT = "|".join(sorted([*UNITS, *VOLUMES], key=lambda u: (-len(u), u)))
 _DIM = "|".join(DIMENSIONS)
 NUMBER = r"[0-9]+(?:\.[0-9]*)?"
+_CROSS = r"(?i:\b(?:x|by)\b)"
 _BOUNDS = rf"^[^0-9(]*(?:\(?\s*({NUMBER})\s*-?\s*\)\s*)?({NUMBER})?(?:\s*-?\s*({NUMBER}))?\s*-?\s*(?:\(\s*-?\s*({NUMBER}))?"
 
 
-def _d(x: Column) -> Column:
-    return F.nullif(x, F.lit("")).try_cast("double")
-
-
 def numbers(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
 
@@ -56,7 +53,8 @@ def number_range(t: Column) -> Column:
     names = ("lower", "from", "to", "upper")
 
     def bounds(t: Column) -> Column:
-        return F.struct(*(_d(F.regexp_extract(t, _BOUNDS, k)).alias(name) for k, name in enumerate(names, 1)))
+        found = F.split(F.regexp_replace(t, rf"(?s){_BOUNDS}.*", "$1,$2,$3,$4"), ",")  # one match for all four; an empty text is no number
+        return let(found, lambda x: F.struct(*(F.when(x[k] != "", x[k]).try_cast("double").alias(name) for k, name in enumerate(names))))  # a failing cast is slow
 
     def placed(x: Column) -> Column:
         b = x["bounds"]
@@ -84,7 +82,7 @@ def least_most(r: Column) -> Column:
 
 def unit(t: Column) -> Column:
     """The last unit word of a text."""
-    return F.nullif(F.regexp_extract(t, rf"(?s)^.*(?<![\p{{L}}])({_UNIT})(?![\p{{L}}0-9])", 1), F.lit(""))
+    return F.try_element_at(F.regexp_extract_all(t, F.lit(rf"(?s)^.*(?<![\p{{L}}])({_UNIT})(?![\p{{L}}0-9])"), F.lit(1)), F.lit(1))
 
 
 def convert(value: Column, source: Column, target: Column | str = DEFAULT_UNIT) -> Column:
@@ -97,7 +95,7 @@ def convert(value: Column, source: Column, target: Column | str = DEFAULT_UNIT)
 
 def dimension_parts(t: Column) -> Column:
     """array(struct(text, unit)) of ``A x B`` or ``A by B``; the first takes the second's unit if it has none, never the reverse."""
-    halves = F.transform(F.split(t, r"(?i)\s*\b(?:x|by)\b\s*", 2), lambda x: F.struct(x.alias("text"), unit(x).alias("unit")))
+    halves = F.transform(F.split(t, rf"\s*{_CROSS}\s*", 2), lambda x: F.struct(x.alias("text"), unit(x).alias("unit")))
 
     def both(h: Column) -> Column:
         first = F.struct(h[0]["text"].alias("text"), F.coalesce(h[0]["unit"], h[1]["unit"]).alias("unit"))
@@ -123,6 +121,15 @@ def lexemes(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(LEXEME), F.lit(0))
 
 
+def is_word(lexeme: Column) -> Column:
+    """Whether a lexeme is a word: all others begin with a bracket, a digit or a mark, which stand before the letters."""
+    return lexeme >= "A"
+
+
+def is_mark(lexeme: Column) -> Column:
+    return lexeme.isin(",", ".", ";", ":")
+
+
 def parsed(rows: DataFrame, text: str = "lexeme") -> DataFrame:
     """``rows`` with kind (PLOIDY, MEROSITY, DIMENSION, MEASUREMENT, CARDINAL, WORD or MARK), dim, and sizes: array(struct(text, unit, least, most)).
 
@@ -136,7 +143,7 @@ def parsed(rows: DataFrame, text: str = "lexeme") -> DataFrame:
     rows = rows.withColumn("kind", kind)
     to_cm = F.create_map(*[F.lit(x) for kv in ({u: v / UNITS["cm"] for u, v in UNITS.items()} | {u: v / VOLUMES["cm3"] for u, v in VOLUMES.items()}).items() for x in kv])
     own = F.array(F.struct(F.trim(t).alias("text"), unit(t).alias("unit")))
-    rows = rows.withColumn("__halves", F.when(F.col("kind").isNull(), F.coalesce(dimension_parts(t), own)))
+    rows = rows.withColumn("__halves", F.when(F.col("kind").isNull(), F.coalesce(F.when(t.rlike(_CROSS), dimension_parts(t)), own)))
     sized = F.exists("__halves", lambda h: h["unit"].isNotNull())
     rows = rows.withColumn("kind", F.coalesce("kind", F.when(F.size("__halves") == 2, "DIMENSION").when(sized, "MEASUREMENT").otherwise("CARDINAL")))
     rows = rows.withColumn("dim", F.when(F.col("kind") == "MEASUREMENT", F.try_element_at(names, F.regexp_extract(t, rf"\b({_DIM})\b", 1))))

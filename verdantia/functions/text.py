@@ -42,11 +42,12 @@ def let(value: Column, body) -> Column:
 
 
 def rewrite(t: Column, pattern: str, value) -> Column:
-    """Every match of the pattern replaced, where it stands, by ``value`` of it."""
+    """Every match of the pattern replaced, where it stands, by ``value`` of it. Texts without a match are not cut."""
 
     def run(x: Column) -> Column:
         rest, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-        return F.array_join(F.zip_with(rest, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        replaced = F.array_join(F.zip_with(rest, F.transform(found, value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(x.rlike(pattern), replaced).otherwise(x)
 
     return let(t, run)
 
@@ -146,12 +147,12 @@ def fractions(t: Column) -> Column:
 
 
 #: Where a blank is missing: between a letter and a digit or opening bracket (but in m3), between a digit or closing bracket
-#: and a letter (but in 2n), and behind a comma or full stop that follows no digit.
-_CONJOINED = r"(?<=[a-z])(?=[(0-9])(?!(?<=m)3)|(?<=[0-9)])(?=[a-z])(?!(?<=2)n)|(?<=[^0-9][,.])(?=\S)"
+#: and a letter (but in 2n), and behind a comma or full stop that follows no digit. Each match is the character before the blank.
+_CONJOINED = r"[a-z](?=[(0-9])(?!(?<=m)3)|[0-9)](?=[a-z])(?!(?<=2)n)|(?<=[^0-9])[,.](?=\S)"
 
 
 def split_conjoined(t: Column) -> Column:
-    return F.regexp_replace(t, _CONJOINED, " ")
+    return F.regexp_replace(t, _CONJOINED, "$0 ")
 
 
 def normalise(t: Column) -> Column:

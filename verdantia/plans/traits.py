@@ -20,6 +20,8 @@ from ..functions import text as T
 from ..operators import frames as O
 
 COUNTED = 3  # lexemes after a bare number within which its part or trait stands
+TASKS = 48  # at least, unless the session asks for fewer; each task compiles its projections anew, which takes as long as some hundred rows
+SENT = 8 << 20  # bytes of parts and dictionary up to which they are sent to every task; larger ones are joined by their keys
 _ENTITY = "struct<pos:int,n:int,label:string,text:string,lemma:string,part:string,dim:string,sizes:array<" + N.SIZE + ">>"
 
 
@@ -32,29 +34,45 @@ def vocabulary(parts: dict[str, str], traits: DataFrame) -> DataFrame:
     return own.unionByName(terms).filter("key is not null").distinct()
 
 
-def _grams(lexemes: Column, longest: int) -> Column:
-    """Runs of up to ``longest`` words: array(struct(pos, n, text, next)), as a hyphenated word is one lexeme."""
+def extent(parts: dict[str, str], traits: DataFrame) -> tuple[int, int]:
+    """The most words of a term, and the bytes of all terms, in one pass over the dictionary."""
+    words = lambda c: F.coalesce(F.size(F.split(c, " ")), F.lit(0))
+    size = F.octet_length(F.concat_ws(" ", "term", "character", "trait", "part"))
+    found = traits.agg(F.max(F.greatest(words(F.col("term")), words(F.col("character")))).alias("n"), F.sum(size + 64).alias("bytes")).head()
+    return max([1, found.n or 0, *(len(t.split(" ")) for t in parts)]), (found.bytes or 0) + sum(len(t.encode()) + 64 for t in parts)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows by their keys over all tasks, however few parts the input is read in; groupings by these keys and more need no other exchange."""
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS))
+    return rows.repartition(tasks, *keys).distinct()
+
+
+def _runs(lexemes: Column, longest: int) -> Column:
+    """Numbers, and runs of up to ``longest`` words: array(struct(pos, n, text, next)), as a hyphenated word is one lexeme."""
 
     def at(x: Column, i: Column) -> Column:
-        run = lambda n: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(lexemes, i + 1, n), " ").alias("text"), F.try_element_at(lexemes, i + n + 1).alias("next"))
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(lexemes) - i)), run)
+        run = lambda n: F.struct(i.alias("pos"), n.alias("n"), F.when(n == 1, x).otherwise(F.array_join(F.slice(lexemes, i + 1, n), " ")).alias("text"), F.try_element_at(lexemes, i + n + 1).alias("next"))
+        words = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(lexemes) - i)), run), lambda g: (g["n"] == 1) | ~g["text"].rlike("[0-9,.;:]"))
+        number = F.array(F.struct(i.alias("pos"), F.lit(1).alias("n"), x.alias("text"), F.lit(None).cast("string").alias("next")))
+        return F.when(N.is_word(x), words).when(~N.is_mark(x), number).otherwise(F.array())
 
-    return F.filter(F.flatten(F.transform(lexemes, at)), lambda g: ~g["text"].rlike("[0-9,.;:]"))
+    return F.flatten(F.transform(lexemes, at))
 
 
 def entities(sentences: DataFrame, keys: list[str], words: DataFrame, longest: int) -> DataFrame:
     """(keys, stop, e): the sentence's numbers, and the word runs that the vocabulary knows by their lower-cased text or lemma. stop: place of the first number or mark."""
     cut = sentences.withColumn("lexemes", N.lexemes(F.col("sentence")))
-    marks = F.filter(F.transform("lexemes", lambda x, i: F.when(x.rlike(r"[0-9]|^[,.;:]$"), i)), lambda i: i.isNotNull())
-    cut = cut.withColumn("stop", F.coalesce(F.try_element_at(marks, F.lit(1)), F.size("lexemes")))
-    number = F.transform("lexemes", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), x.alias("text"), F.lit(None).cast("string").alias("next")))
-    number = F.filter(number, lambda x: x["text"].rlike("[0-9]"))
-    rows = cut.withColumn("x", F.explode(F.concat(number, _grams(F.col("lexemes"), longest)))).select(*keys, "stop", "x.*")
-    rows = N.parsed(rows, "text").filter(F.col("kind") != "MARK")
-    lemma = F.when(F.col("kind") == "WORD", O.lemma(F.col("text")))
-    rows = rows.withColumn("lemma", lemma).withColumn("key", F.explode(F.when(F.col("kind") == "WORD", F.array_distinct(F.array(F.lower("text"), "lemma"))).otherwise(F.array(F.lit(None).cast("string")))))
-    known = rows.join(words, "key", "left").filter((F.col("kind") != "WORD") | F.col("label").isNotNull())
-    known = known.filter(~((F.col("lemma") == "fig") & (F.coalesce("next", F.lit("")) == ".")))
+    first = F.array_position(F.transform("lexemes", lambda x: ~N.is_word(x)), True).cast("int")
+    cut = cut.withColumn("stop", T.let(first, lambda n: F.when(n > 0, n - 1).otherwise(F.size("lexemes"))))
+    rows = cut.withColumn("x", F.explode(_runs(F.col("lexemes"), longest))).select(*keys, "stop", "x.*")
+    rows = N.parsed(rows, "text")
+    rows = rows.withColumn("lemma", F.when(F.col("kind") == "WORD", O.lemma(F.col("text"))))
+    # A figure has no keys, as a filter behind the join would be pushed below all that is computed here and compute it twice.
+    figure = (F.col("lemma") == "fig") & (F.coalesce("next", F.lit("")) == ".")
+    keyed = F.when(figure, F.array().cast("array<string>")).when(F.col("kind") == "WORD", F.array_distinct(F.array(F.lower("text"), "lemma"))).otherwise(F.array(F.lit(None).cast("string")))
+    known = rows.withColumn("key", F.explode(keyed)).join(words, "key", "left").filter((F.col("kind") != "WORD") | F.col("label").isNotNull())
     e = F.struct("pos", "n", F.coalesce("label", "kind").alias("label"), F.lower("text").alias("text"), "lemma", "part", "dim", "sizes").cast(_ENTITY)
     return known.select(*keys, "stop", e.alias("e"))
 
@@ -89,10 +107,12 @@ def observations(descriptions: DataFrame, parts: dict[str, str], traits: DataFra
     carried = tuple(c for c in carried if c in descriptions.columns)
     if traits is None:
         traits = spark.createDataFrame([], "term string, character string, trait string, part string")
-    words = vocabulary(parts, traits)
-    longest = words.agg(F.max(F.size(F.split("key", " "))).alias("n")).head().n or 1
+    longest, size = extent(parts, traits)
+    sent = F.broadcast if size <= SENT else lambda table: table
+    words = sent(vocabulary(parts, traits))
     keys = [*carried, "description", "idx"]
-    described = descriptions.select(*carried, F.xxhash64("text").alias("description"), T.normalise(F.col("text")).alias("__text"))
+    dealt = _dealt(descriptions.select(*carried, F.xxhash64("text").alias("description"), F.col("text").alias("__text")), keys[:-1])
+    described = dealt.withColumn("__text", T.normalise(F.col("__text")))
     split = described.select(*carried, "description", F.posexplode(T.sentences(F.col("__text"))).alias("idx", "sentence"))
 
     said = entities(split, keys, words, longest).groupBy(*keys, "stop").agg(F.collect_set("e").alias("found"))
@@ -114,7 +134,7 @@ def observations(descriptions: DataFrame, parts: dict[str, str], traits: DataFra
     sized = F.flatten(F.transform("each", lambda x: F.transform(F.map_entries(x["held"]), lambda m: F.struct(x["part"].alias("part"), double.alias("idx"), F.concat(x["part"], F.lit(" measurement."), F.lower(m["key"])).alias("field"), m["value"]["least"].alias("least"), m["value"]["most"].alias("most"), none.alias("value"), none.alias("text"), none.alias("lemma")))))
     stated = F.transform(_last_counts(F.col("value")), lambda v: F.struct(*(v[c].alias(c) for c in ("part", "idx", "field", "least", "most", "value", "text", "lemma"))))
     rows = whole.select(*keys[:-1], F.explode(F.concat(sized, stated)).alias("o")).select(*keys[:-1], "o.*")
-    return _looked_up(rows, traits, keys[:-1], group)
+    return _looked_up(rows, sent(O.trait_keys(discrete(traits, group))), keys[:-1])
 
 
 _VALUE = ("pos", "field", "least", "most", "value", "text", "lemma")
@@ -163,9 +183,8 @@ def discrete(traits: DataFrame, group: str | None) -> DataFrame:
     return traits if group is None or "group" not in traits.columns else traits.filter(F.col("group") == group)
 
 
-def _looked_up(rows: DataFrame, traits: DataFrame, keys: list[str], group: str | None) -> DataFrame:
+def _looked_up(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with a dictionary text become the traits that fit it and its part; the others stay."""
-    named = O.trait_keys(discrete(traits, group))
     key = F.explode(F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.array("text", "lemma"))))
     found = rows.withColumn("key", key).join(named, "key", "left")
     found = found.filter(F.col("text").isNull() | (F.col("trait").isNotNull() & O.part_fits(F.col("part"), F.col("trait_part"))))
