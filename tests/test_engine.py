@@ -128,3 +128,18 @@ def test_blanks_and_bounds_as_by_lookbehind_and_by_groups(spark):
         bounds = [float(x) if x else None for x in re.match(N._BOUNDS, r.t).groups()]
         if len(re.findall(N.NUMBER, r.t)) in (2, 3, 4) and "/" not in r.t:
             assert (list(r.r) if r.r else None) == (bounds if sum(x is not None for x in bounds) == len(re.findall(N.NUMBER, r.t)) else None), r.t
+
+
+def test_html_batches_are_not_python_objects_at_once():
+    """Of a batch of 20 MB, far less than that is ever held as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array(["<p>" + "x" * 10_000 + "</p>", None] * 2000)
+    tracemalloc.start()
+    got = H._each(pages, lambda x: [p["text"] for p in H._read(x).paragraphs], pa.list_(pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20 and got.to_pylist()[:2] == [["x" * 10_000], []] and len(got) == 4000
+    assert len(H._each(pages[:0], len, pa.int64())) == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 
+PAGES = 64  # pages that are Python objects at once
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -60,6 +61,12 @@ def _read(page: str | None, within: str | None = None, mark: str | None = None)
     return reader
 
 
+def _each(column: pa.Array, of, kind: pa.DataType) -> pa.Array:
+    """``of`` every page as one Arrow array; of the batch, only ``PAGES`` at a time are Python objects."""
+    parts = [pa.array([of(x.as_py()) for x in column.slice(at, PAGES)], kind) for at in range(0, len(column), PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def links(pages: DataFrame, key: str, page: str) -> DataFrame:
     """(key, links array(struct(href, title, text)))"""
     kind = "array<struct<href:string,title:string,text:string>>"
@@ -67,7 +74,7 @@ def links(pages: DataFrame, key: str, page: str) -> DataFrame:
 
     def run(columns):
         for c in columns:
-            yield pa.array([_read(x).links for x in c.to_pylist()], typed)
+            yield _each(c, lambda x: _read(x).links, typed)
 
     return _typed(pages, key, page, run, kind, "links")
 
@@ -84,8 +91,7 @@ def paragraphs_of(page: Column, within: str | None = None, mark: str | None = No
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in columns:
-            found = [[p["text"].strip() for p in _read(x, within, mark).paragraphs if not p["table"]] for x in c.to_pylist()]
-            yield pa.array(found, pa.list_(pa.string()))
+            yield _each(c, lambda x: [p["text"].strip() for p in _read(x, within, mark).paragraphs if not p["table"]], pa.list_(pa.string()))
 
     def joined(found: Column) -> Column:
         good = F.filter(found, lambda x: x.rlike(holds) & (F.lit(True) if kept is None else kept(x)))
